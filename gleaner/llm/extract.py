@@ -67,10 +67,10 @@ def _is_outside(tag: str, attributes: str, inside_article: bool) -> bool:
 
 
 class Block:
-    __slots__ = ("path", "boxes", "text", "good")
+    __slots__ = ("path", "boxes", "text", "good", "linked")
 
-    def __init__(self, path: str, boxes: tuple[int, ...], text: str, good: bool):
-        self.path, self.boxes, self.text, self.good = path, boxes, text, good
+    def __init__(self, path: str, boxes: tuple[int, ...], text: str, good: bool, linked: int):
+        self.path, self.boxes, self.text, self.good, self.linked = path, boxes, text, good, linked
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -78,26 +78,27 @@ def blocks_of(page: str) -> list[Block]:
     in, text with references decoded and white space single, inside an article."""
     out: list[Block] = []
     stack: list[tuple[str, bool, int]] = []  # tag, outside, box number or -1
-    outside = articles = opaque = boxes = 0
+    outside = articles = opaque = boxes = links = linked = 0
     parts: list[str] = []
     path = ""
     at, n = 0, len(page)
 
     def flush():
-        nonlocal path
+        nonlocal path, linked
         text = " ".join(html.unescape("".join(parts)).split()) if parts else ""
         if text:
             inner = tuple(b for t, _, b in stack if b >= 0 and t not in ("html", "body"))
-            out.append(Block(path, inner or (-1,), text, articles > 0))
+            out.append(Block(path, inner or (-1,), text, articles > 0, linked))
         parts.clear()
-        path = ""
+        path, linked = "", 0
 
     def pop():
-        nonlocal outside, articles, opaque
+        nonlocal outside, articles, opaque, links
         tag, out_, _ = stack.pop()
         outside -= out_
         articles -= tag in ("article", "main")
         opaque -= tag in _OPAQUE
+        links -= tag == "a"
 
     while at < n:
         found = _TOKEN.search(page, at)
@@ -106,6 +107,7 @@ def blocks_of(page: str) -> list[Block]:
             if not path and not text.isspace():
                 path = "/".join(t for t, _, _ in stack)
             parts.append(text)
+            linked += len(text) if links else 0
         if not found:
             break
         at = found.end()
@@ -143,6 +145,7 @@ def blocks_of(page: str) -> list[Block]:
         outside += mark
         articles += tag in ("article", "main")
         opaque += tag in _OPAQUE
+        links += tag == "a"
         stack.append((tag, mark, boxes if tag in _BOX else -1))
         boxes += tag in _BOX
     flush()
@@ -163,7 +166,9 @@ def content_blocks(blocks: list[Block], reach: int = 2, prior: float = 4.0) -> l
     smooth = []
     for i in range(len(fused)):
         near = [(kernel[j - i + reach], fused[j]) for j in range(max(0, i - reach), min(len(fused), i + reach + 1))]
-        smooth.append(sum(k * x for k, x in near) / sum(k for k, _ in near))
+        # Neighbours do not make a list of links a text.
+        plain = max(0.0, 1 - blocks[i].linked / len(blocks[i].text))
+        smooth.append(plain * sum(k * x for k, x in near) / sum(k for k, _ in near))
     mean = sum(smooth) / len(smooth)
     threshold = min(sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)), 0.5 * max(smooth))
     # A box is content if its own text lies above the threshold on the whole; so is all that it encloses.
@@ -171,7 +176,7 @@ def content_blocks(blocks: list[Block], reach: int = 2, prior: float = 4.0) -> l
     for b, x in zip(blocks, smooth, strict=True):
         held[b.boxes[-1]] += len(b.text)
         score[b.boxes[-1]] += len(b.text) * x
-    content = {box for box in held if score[box] >= threshold * held[box]}
+    content = {box for box in held if score[box] > 0 and score[box] >= threshold * held[box]}
     return [b for b in blocks if not content.isdisjoint(b.boxes)]
 
 

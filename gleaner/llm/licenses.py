@@ -96,16 +96,18 @@ def scan_licenses(files: DataFrame, similarity: float = 0.6) -> DataFrame:
     scored = dots.join(norm(left, "statement", "a"), "statement").join(F.broadcast(norm(right, "template", "b")), "template").withColumn("similarity", cosine)
     best = F.row_number().over(Window.partitionBy("statement").orderBy(F.desc("similarity"), "license"))
     matched = scored.where(F.col("similarity") >= similarity).withColumn("n", best).where("n = 1").select("statement", "license", "similarity")
-    stated = units.withColumn("statement", F.md5(F.concat_ws(" ", "tokens"))).join(matched, "statement")
+    stated = units.withColumn("statement", F.md5(F.concat_ws(" ", "tokens"))).join(matched, "statement", "left")
 
     key = ["file_id", "path"]
-    likest = F.min_by(F.col("license"), F.struct(-F.col("similarity"), F.col("license")))
+    is_told = F.col("license").isNotNull()
     own = stated.groupBy(key).agg(
-        likest.alias("license"), F.max("similarity").alias("similarity"), F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"), F.max("named").alias("named"), F.max("only").alias("only"), F.count_distinct("unit").alias("n")
+        F.min_by("license", F.when(is_told, F.struct(-F.col("similarity"), F.col("license")))).alias("license"),
+        F.max("similarity").alias("similarity"),
+        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
+        # Nothing but licence lines: each line has been recognised.
+        (F.max("named") | (F.max("only") & (F.count_distinct("unit") == F.count_distinct(F.when(is_told, F.col("unit")))))).alias("is_file"),
     )
-    # Nothing but licence lines: each of them has been recognised.
-    n_units = units.groupBy(key).agg(F.count_distinct("unit").alias("of"))
-    own = stored(own.join(n_units, key).withColumn("is_file", F.col("named") | (F.col("only") & (F.col("n") == F.col("of")))).drop("n", "of", "named", "only"), "own")
+    own = stored(own.where("license is not null"), "own")
 
     folder = F.array_join(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), "/")
     order = Window.partitionBy("folder").orderBy(F.desc("similarity"), "path", "license")

@@ -32,7 +32,7 @@ def test_odd_vectors(spark):
 
 
 def test_large_components(spark):
-    rows = [(i, [float(i + 1) * 1e5, -float(i * i), 7.0]) for i in range(120)]
+    rows = [(i, [float(i + 1) * 1e4, -float(i * i), 7.0]) for i in range(120)]
     check(spark, rows, every=40, k=4)
 
 
