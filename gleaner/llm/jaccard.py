@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from ..operators.graph import components
 from .packed import multikey_order, pack, slices, unpack
 from .rolling import U64, mix
 from .runtime import NO_ID, content_key, order_id, stored

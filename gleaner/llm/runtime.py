@@ -1,57 +1,16 @@
-"""What the operators share: tables in the shared folder, and reading tables."""
+"""What the operators share: tables in the shared folder, and keys of documents."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands for a missing doc_id wherever documents are ordered or matched.
-NO_ID = -(1 << 63)
-
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Where none is named, a local session gets a temporary one and a cluster an
-    error, since executors would not see a folder of the driver's machine.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="gleaner-")
-    atexit.register(shutil.rmtree, own, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+from ..tables import shared_folder, stored, table
 
+__all__ = ["NO_ID", "content_key", "order_id", "shared_folder", "stored", "table"]
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again.
-
-    Cuts the lineage without tying the data to any executor, gives the planner
-    true sizes, and frees the shuffle files that made it.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/gleaner/{uuid.uuid4().hex}/{name}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Stands for a missing doc_id wherever documents are ordered or matched.
+NO_ID = -(1 << 63)
 
 
 def order_id(column: str | Column) -> Column:
@@ -64,7 +23,3 @@ def content_key(column: str | Column) -> Column:
     """A hash of a text that tells rows of one doc_id apart; null counts as empty."""
     column = F.col(column) if isinstance(column, str) else column
     return F.xxhash64(F.coalesce(column, F.lit("")))
-
-
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -7,7 +7,8 @@ pytest.importorskip("corpus_pipeline")
 
 import corpus_pipeline  # noqa: E402
 
-from gleaner.llm import graph, jaccard, packed  # noqa: E402
+from gleaner.llm import jaccard, packed  # noqa: E402
+from gleaner.operators import graph  # noqa: E402
 
 
 def test_components(spark):
