@@ -130,7 +130,9 @@ def signatures(shingles: np.ndarray, percent: int, boundary: int, heavy: np.ndar
         if len(heavy):
             at = np.minimum(np.searchsorted(heavy, shingles), len(heavy) - 1)
             light = shingles[heavy[at] != shingles]
-        for top, differ, cells in _lists_of(percent, boundary, classes, n):
+        for top, _, cells in _lists_of(percent, boundary, classes, n):
+            # What this set can differ in from a partner of this class, not the most that any pair can.
+            differ = (n + min(top, partner_limit(percent, n))) * (100 - percent) // (100 + percent)
             found, filled = _cells(light, top, cells, 0)
             out.append(found)
             if filled <= differ:
@@ -372,7 +374,7 @@ def link_components(documents: DataFrame, width: int = 4, percent: int = 85, clu
     spark = documents.sparkSession
     texts = documents.select(order_id("doc_id").alias("doc"), content_key("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
 
-    counted = stored(texts.select("text").mapInArrow(_count(width, 4), "kind byte, value long, n long"), "counts").groupBy("kind", "value").agg(F.sum("n").alias("n"))
+    counted = stored(texts.select("text").mapInArrow(_count(width, 2), "kind byte, value long, n long"), "counts").groupBy("kind", "value").agg(F.sum("n").alias("n"))
     often = counted.where("kind = 0 and n >= 16").orderBy(F.desc("n"), "value").limit(max_heavy).select("value").toPandas()["value"]
     heavy = spark.sparkContext.broadcast(np.sort(often.to_numpy(np.int64).view(U64)))
     small = {r["value"]: r["n"] for r in counted.where("kind = 1 and value > 0").collect()}
