@@ -45,7 +45,7 @@ from .runtime import NO_ID, content_key, order_id, stored
 from .shingles import shingle_set
 
 DOC, TIE, SIGNATURE = 0, 1, 2
-_GATHER = 1 << 21
+_GATHER = 1 << 20
 _SMALL_LIMIT = 24
 
 
