@@ -1,21 +1,41 @@
 """Licence scan: which licence each file is under.
 
-Lines that speak of a licence are compared with templates by the cosine of
-sparse TF-IDF vectors, weighted by how many such lines of the corpus hold a
-word; files that are licence files by name are compared as a whole.  Files
-without a licence of their own inherit that of the nearest directory above
-them that holds a licence file, by a join on directory paths.
+Texts that speak of a licence are compared with templates by the cosine of
+sparse TF-IDF vectors, weighted by how many such texts of the corpus hold a
+word.  The templates are whole licence texts (``license_texts``), the standard
+headers and one-line notices; what is compared with them is every line, every
+paragraph, every block and the whole of the file, so a wrapped header and a
+licence file are each met by one of their size.  SPDX tags are read, not
+compared.  Files without a licence of their own inherit that of the nearest
+directory above them that holds a licence file, by a join on directory paths.
 
 All of it is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .runtime import stored
 
+#: Whole licence texts, named by SPDX identifier; read on the driver.
+TEXTS = Path(__file__).with_name("license_texts")
+_GNU = (
+    ("AGPL-3.0", "Affero General Public License", 3), ("GPL-1.0", "General Public License", 1), ("GPL-2.0", "General Public License", 2), ("GPL-3.0", "General Public License", 3),
+    ("LGPL-2.0", "Library General Public License", 2), ("LGPL-2.1", "Lesser General Public License", 2.1), ("LGPL-3.0", "Lesser General Public License", 3),
+)
+_GNU_REST = " This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0} for more details. You should have received a copy of the GNU {0} along with this program. If not, see https://www.gnu.org/licenses/."
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_APACHE_WITHOUT = 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'
+
+
+def _gnu(licence: str, version: float) -> str:
+    return f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {licence} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version."
+
+
 # SPDX identifiers and how files state them.
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -35,9 +55,20 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
     ("Proprietary", "All rights reserved."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Apache-2.0", f"{_APACHE} {_APACHE_WITHOUT}"),
+    ("Apache-2.0", _APACHE),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    *((name, _gnu(licence, version) + rest) for name, licence, version in _GNU for rest in ("", _GNU_REST.format(licence))),
 )
+#: Names that SPDX tags may hold in another case; others are kept as written.
+SPDX_NAMES = sorted({name for name, _ in TEMPLATES if name != "Proprietary"} | {file.stem for file in TEXTS.glob("*.txt")})
+SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([( ]*[a-z0-9][a-z0-9.+:-]*(?:[ \t)]+(?:and|or|with)[ \t(]+[a-z0-9][a-z0-9.+:-]*)*)"
 #: Lines without any of these words share no telling word with a template.
-CUE = r"(?i)licen[cs]|copyright|rights\s+reserved|spdx|public\s+domain|hereby\s+granted|free\s+of\s+charge"
+CUE = r"(?i)licen[cs]|copyright|rights\s+reserved|spdx|public\s+domain|hereby\s+granted|free\s+of\s+charge|redistribut|permission\s+to\s+use|warranty"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 TOKEN = r"[a-z]+|[0-9]+(?:[.][0-9]+)*"
 
@@ -47,8 +78,40 @@ def _tokens(text: str | Column) -> Column:
 
 
 def _templates(spark: SparkSession) -> DataFrame:
-    """As many rows as TEMPLATES, so small by definition."""
-    return spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(TEMPLATES)], "template int, license string, text string")
+    """As many rows as TEMPLATES and TEXTS, so small by definition."""
+    whole = [(file.stem, True, file.read_text()) for file in sorted(TEXTS.glob("*.txt"))]
+    rows = [*((name, False, text) for name, text in TEMPLATES), *whole]
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "template int, license string, full boolean, text string")
+
+
+#: Where a comment begins or ends beside code, a blank line is put in.
+_EDGES = ((r"(?m)^([ \t]*(?:#|//|/?\*|--|;|%)[^\n]*)\n(?=[ \t]*[^\s#/*;%-])", "$1\n\n"), (r"(?m)^([ \t]*[^\s#/*;%-][^\n]*)\n(?=[ \t]*(?:#|//|/\*|--|;|%))", "$1\n\n"))
+WHOLE, BLOCK, PARAGRAPH, LINE = range(4)
+
+
+def _units(text: Column):
+    """The file, its blocks (between blank lines), their paragraphs (between
+    lines without a letter or digit) and lines, each with a cue: level, and the
+    numbers of block, paragraph and line, or -1."""
+    cued = lambda xs: F.filter(xs, lambda x: x["text"].rlike(CUE))
+    none = F.lit(-1)
+    unit = lambda level, b, p, n, x: F.struct(F.lit(level).alias("level"), b.alias("b"), p.alias("p"), n.alias("l"), x.alias("text"))
+    apart = text
+    for pattern, by in _EDGES:
+        apart = F.regexp_replace(apart, pattern, by)
+    blocks = cued(F.transform(F.split(apart, r"\n[ \t\r\f]*\n"), lambda x, b: unit(BLOCK, b, none, none, x)))
+    within = lambda level, xs, at, name: cued(F.flatten(F.transform(xs, lambda o: F.transform(F.split(o["text"], at), lambda x, i: unit(level, o["b"], i if name == "p" else o["p"], i if name == "l" else none, x)))))
+    return F.array(unit(WHOLE, none, none, none, text)), blocks, lambda xs: within(PARAGRAPH, xs, r"\n[^\p{L}\p{N}\n]*\n", "p"), lambda xs: within(LINE, xs, r"\n", "l")
+
+
+def _spdx(text: Column) -> Column:
+    """The identifiers of a text's SPDX tags, without 'or later' and exceptions."""
+    known = F.create_map(*(F.lit(x) for name in SPDX_NAMES for x in (name.lower(), name)))
+    stated = F.array_join(F.regexp_extract_all(text, F.lit(SPDX), F.lit(1)), " or ")
+    names = F.regexp_extract_all(F.regexp_replace(stated, r"(?i)[ \t)]with[ \t(]+[a-z0-9.+:-]+", ""), F.lit(r"(?i)[a-z0-9][a-z0-9.+:-]*"), F.lit(0))
+    names = F.transform(names, lambda x: F.regexp_replace(x, r"(?i)[.:-]+$|(?:-only|-or-later|\+)[.:-]*$", ""))
+    names = F.transform(names, lambda x: F.coalesce(F.element_at(known, F.lower(x)), x))
+    return F.array_distinct(F.filter(names, lambda x: ~F.lower(x).isin("", "and", "or", "none", "noassertion")))
 
 
 def scan_licenses(files: DataFrame, similarity: float = 0.6) -> DataFrame:
@@ -56,24 +119,28 @@ def scan_licenses(files: DataFrame, similarity: float = 0.6) -> DataFrame:
     license (null if none), similarity, licenses (all that the file states,
     comma-joined), origin ('header', 'file', 'inherited' or null), from_path.
 
-    A licence file is one named like one (LICENSE, COPYING, ...), or one of
-    which every line states a licence.  Of several statements the likest one
-    counts, then the first by name; of several licence files in a directory,
-    the likest, then the first by path.  Null texts are empty; a null path has
-    no directory and inherits nothing.  Rows that repeat a file_id and path
-    are one file whose statements are taken together, and each gets a row.
-    Other columns are not looked at.
+    A licence file is one named like one (LICENSE, COPYING, ...), one that as a
+    whole is a licence text, or one of which every line states a licence.  Of
+    several statements the likest one counts, then the first by name, and 'All
+    rights reserved' only if there is no other; a statement less like a licence
+    than the paragraph, block or file around it does not count.  Of several
+    licence files in a directory, the likest, then the first by path.  Null
+    texts are empty; a null path has no directory and inherits nothing.  Rows
+    that repeat a file_id and path are one file whose statements are taken
+    together, and each gets a row.  Other columns are not looked at.
     """
     spark = files.sparkSession
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
     rows = files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    told = rows.where(F.col("text").rlike(CUE)).withColumn("named", named)
-    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(x))
-    lines = F.filter(lines, lambda x: x != "")
-    told = told.withColumn("lines", lines).withColumn("cues", F.filter("lines", lambda x: x.rlike(CUE))).withColumn("only", F.size("lines") == F.size("cues"))
-    units = F.when(F.col("named"), F.array("text")).otherwise(F.col("cues"))
-    units = told.select("file_id", "path", "named", "only", F.posexplode(units).alias("unit", "text"))
-    units = stored(units.withColumn("tokens", _tokens("text")).select("file_id", "path", "named", "only", "unit", "tokens").distinct(), "units")
+    told = rows.where(F.col("text").rlike(CUE)).withColumns({"named": named, "spdx": _spdx(F.col("text")), "text": F.regexp_replace("text", r"(?i)SPDX-License-Identifier:[^\n]*", "")})
+    whole, blocks, paragraphs, lines = _units(F.col("text"))
+    told = told.withColumn("blocks", blocks).withColumn("paragraphs", paragraphs(F.col("blocks"))).withColumn("cues", lines(F.col("paragraphs")))
+    told = told.withColumn("only", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) == F.size("cues"))
+    read = F.transform("spdx", lambda x: F.struct(F.lit(LINE).alias("level"), F.lit(-1).alias("b"), F.lit(-1).alias("p"), F.lit(-1).alias("l"), F.lit("").alias("text"), x.alias("read")))
+    compared = F.transform(F.concat(whole, "blocks", "paragraphs", "cues"), lambda x: F.struct(x["level"].alias("level"), x["b"].alias("b"), x["p"].alias("p"), x["l"].alias("l"), x["text"].alias("text"), F.lit(None).cast("string").alias("read")))
+    told = told.select("file_id", "path", "named", "only", F.explode(F.concat(compared, read)).alias("u")).select("file_id", "path", "named", "only", "u.*")
+    every = stored(told.withColumn("tokens", _tokens("text")).drop("text").distinct(), "units")
+    units = every.where("read is null")
 
     # Weights of words: in how many statements of the corpus or templates they stand.
     known = _templates(spark).withColumn("tokens", _tokens("text"))
@@ -84,28 +151,40 @@ def scan_licenses(files: DataFrame, similarity: float = 0.6) -> DataFrame:
 
     def vector(df: DataFrame, *key: str) -> DataFrame:
         counts = df.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").agg(F.count("*").alias("tf"))
-        return counts.join(weights, "token").withColumn("w", F.col("tf") * F.col("idf"))
+        return counts.join(weights, "token").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
 
     # Equal statements are compared once.
     texts = units.select("tokens").distinct().withColumn("statement", F.md5(F.concat_ws(" ", "tokens")))
     left = vector(texts, "statement")
-    right = vector(known, "template", "license")
+    right = vector(known, "template", "license", "full")
     norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = left.join(F.broadcast(right.select("template", "license", "token", F.col("w").alias("v"))), "token").groupBy("statement", "template", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    dots = left.join(F.broadcast(right.select("template", "license", "full", "token", F.col("w").alias("v"))), "token").groupBy("statement", "template", "license", "full").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("a") * F.col("b")), 6)
     scored = dots.join(norm(left, "statement", "a"), "statement").join(F.broadcast(norm(right, "template", "b")), "template").withColumn("similarity", cosine)
     best = F.row_number().over(Window.partitionBy("statement").orderBy(F.desc("similarity"), "license"))
-    matched = scored.where(F.col("similarity") >= similarity).withColumn("n", best).where("n = 1").select("statement", "license", "similarity")
-    stated = units.withColumn("statement", F.md5(F.concat_ws(" ", "tokens"))).join(matched, "statement", "left")
+    matched = scored.where(F.col("similarity") >= similarity).withColumn("n", best).where("n = 1").select("statement", "license", "similarity", "full")
+    stated = units.withColumn("statement", F.md5(F.concat_ws(" ", "tokens"))).join(matched, "statement", "left").drop("statement")
+    read = every.where("read is not null").select("*", F.col("read").alias("license"), F.lit(1.0).alias("similarity"), F.lit(False).alias("full"))
+    stated = stated.unionByName(read).drop("tokens")
 
     key = ["file_id", "path"]
+    around = lambda level, *by: F.coalesce(F.max(F.when(F.col("level") == level, F.col("similarity"))).over(Window.partitionBy(*key, *by)), F.lit(0.0))
+    stated = stated.withColumns({"w": around(WHOLE), "k": around(BLOCK, "b"), "g": around(PARAGRAPH, "b", "p")})
+    above = F.greatest(*(F.when((F.col("level") > level) & F.col("read").isNull(), F.col(c)).otherwise(0.0) for level, c in ((WHOLE, "w"), (BLOCK, "k"), (PARAGRAPH, "g"))))
     is_told = F.col("license").isNotNull()
+    counts = is_told & (F.col("similarity") >= above)
+    line = F.when((F.col("level") == LINE) & F.col("read").isNull(), F.struct("b", "p", "l"))
     own = stated.groupBy(key).agg(
-        F.min_by("license", F.when(is_told, F.struct(-F.col("similarity"), F.col("license")))).alias("license"),
-        F.max("similarity").alias("similarity"),
-        F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"),
+        F.min_by("license", F.when(counts, F.struct(F.col("license") == "Proprietary", -F.col("similarity"), F.col("license")))).alias("license"),
+        F.min_by("similarity", F.when(counts, F.struct(F.col("license") == "Proprietary", -F.col("similarity"), F.col("license")))).alias("similarity"),
+        F.array_join(F.array_sort(F.collect_set(F.when(counts, F.col("license")))), ",").alias("licenses"),
         # Nothing but licence lines: each line has been recognised.
-        (F.max("named") | (F.max("only") & (F.count_distinct("unit") == F.count_distinct(F.when(is_told, F.col("unit")))))).alias("is_file"),
+        (
+            F.max("named")
+            # A licence text, and not a header before something else, which is likelier without it.
+            | F.coalesce(F.max(F.when((F.col("level") == WHOLE) & F.col("full"), F.col("similarity"))) >= F.coalesce(F.max(F.when((F.col("level") == BLOCK) & F.col("full"), F.col("similarity"))), F.lit(0.0)), F.lit(False))
+            | (F.max("only") & (F.count_distinct(line) > 0) & (F.count_distinct(line) == F.count_distinct(F.when(is_told, line))))
+        ).alias("is_file"),
     )
     own = stored(own.where("license is not null"), "own")
 

@@ -1,3 +1,5 @@
+import textwrap
+
 from gleaner.llm import licenses
 
 SCHEMA = "file_id long, path string, text string, license string, token int"
@@ -37,3 +39,35 @@ def test_repeated_rows_and_empty_table(spark):
     out = licenses.scan_licenses(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
     assert [r.license for r in out] == ["MIT"] * 3
     assert licenses.scan_licenses(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def wrapped(text, mark, width=60):
+    return "\n".join(f"{mark}{line}" for part in text.split("\n\n") for line in [*textwrap.wrap(" ".join(part.split()), width), ""])
+
+
+def test_whole_texts_headers_and_tags(spark):
+    text = {file.stem: file.read_text() for file in licenses.TEXTS.glob("*.txt")}
+    bsd = text["BSD-3-Clause"].replace("the copyright holder", "the University of Somewhere")
+    rows, want = [], {}
+
+    def add(path, body, license, origin):
+        want[len(rows)] = (license, origin)
+        rows.append((len(rows), f"r{len(rows)}/{path}", body))
+
+    for name, whole in text.items():
+        add("LICENSE", f"Copyright (c) 2021, Ada Example.\n\n{wrapped(whole, '', 66)}", name, "file")
+    add("docs/terms.txt", "Copyright (c) 2021 Ada Example\n\n" + text["MIT"], "MIT", "file")
+    add("x.c", "/*\n" + wrapped("Copyright (c) 2021, Ada Example\nAll rights reserved.\n\n" + bsd, " * ") + "\n */\nint main(void) { return 0; }\n" * 3, "BSD-3-Clause", "header")
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the GNU General Public License for more details."
+    for version in (2, 3):
+        add("x.py", "#!/usr/bin/env python\n" + wrapped(gpl.format(version), "# ") + "\nimport os\nprint(os.sep)\n" * 9, f"GPL-{version}.0", "header")
+    apache = text["Apache-2.0"]
+    add("X.java", "/*\n" + wrapped(apache[apache.rindex("   Copyright [") :], " * ", 50) + "\n */\npackage x;\n", "Apache-2.0", "header")
+    add("x.rs", "// SPDX-License-Identifier: MIT\nfn main() {}", "MIT", "header")
+    add("x.h", "/* SPDX-License-Identifier: gpl-2.0-or-later WITH Linux-syscall-note */\nint a;", "GPL-2.0", "header")
+    add("x.go", "// SPDX-License-Identifier: (MIT OR Apache-2.0)\npackage x", "Apache-2.0", "header")
+    add("x.zig", "// SPDX-License-Identifier: EUPL-1.2\nconst a = 1;", "EUPL-1.2", "header")
+    got = scan(spark, rows)
+    assert {k[0]: (r.license, r.origin) for k, r in got.items()} == want
+    assert [r.licenses for k, r in got.items() if k[1].endswith("x.go")] == ["Apache-2.0,MIT"]
+    assert [r.licenses for k, r in sorted(got.items()) if k[1].endswith("x.py")] == ["GPL-2.0", "GPL-3.0"]
