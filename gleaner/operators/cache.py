@@ -36,3 +36,8 @@ def upsert(memo: DataFrame, new: DataFrame) -> DataFrame:
 
 def save(memo: DataFrame, path: str) -> None:
     memo.write.mode("overwrite").parquet(path)
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Leaves an empty memo."""
+    spark.createDataFrame([], SCHEMA).write.mode("overwrite").parquet(path)

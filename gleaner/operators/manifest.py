@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import shutil
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import OUTPUT_FOLDERS
 
@@ -28,11 +31,48 @@ def summary(manifest: DataFrame) -> DataFrame:
     )
 
 
+#: Stem and extension of a file name; a leading point begins no extension.
+STEM, SUFFIX = r"^(.+?)(\.[^.]*)?$", r"^(.+?)(?: \([0-9]+\))+$"
+
+
+def _free_names(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (family, folder, name, order...) sorted by family and order: the
+    first free of name, 'stem (2).ext', ... for each, family by family."""
+    family, taken, following = None, set(), {}
+    for batch in rows:
+        out = []
+        for key, name, stem, ext in zip(*(batch.column(c).to_pylist() for c in ("_family", "_name", "_stem", "_ext")), strict=True):
+            if key != family:
+                family, taken, following = key, set(), {}
+            n = following.get(name, 1)
+            while (candidate := name if n == 1 else f"{stem} ({n}){ext}") in taken:
+                n += 1
+            following[name] = n + 1
+            taken.add(candidate)
+            out.append(candidate)
+        yield batch.append_column("file_name", pa.array(out, pa.string()))
+
+
 def destination_names(manifest: DataFrame, name: str, order: str, folder: str = "destination") -> DataFrame:
-    """Adds file_name: ``name``, or 'stem (n).ext' for the n-th of one name in a folder."""
-    nth = F.row_number().over(Window.partitionBy(folder, name).orderBy(order))
-    stem, ext = F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.+?)(\.[^.]*)?$", 2)
-    return manifest.withColumn("_n", nth).withColumn("file_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), ext))).drop("_n")
+    """Adds file_name: ``name``, or the first of 'stem (2).ext', 'stem (3).ext', ...
+    that no row before it in its folder has got, by ``order``.
+
+    Names can only meet within a family, those of one folder that are alike but
+    for ' (n)' at the end of the stem.  In families of one name, which are nearly
+    all, the n-th row gets n, by a window; the others are walked through in
+    order, a family in one task, as a stream that holds the names given so far."""
+    private = lambda n: f"_{n}"
+    stem, ext = F.regexp_extract(name, STEM, 1), F.regexp_extract(name, STEM, 2)
+    base = F.when(stem.rlike(SUFFIX), F.regexp_extract(stem, SUFFIX, 1)).otherwise(stem)
+    keyed = manifest.withColumns({private("stem"): stem, private("ext"): ext, private("name"): F.col(name), private("family"): F.to_json(F.struct(F.col(folder).alias("f"), base.alias("b"), ext.alias("e")))})
+    names = Window.partitionBy("_family")
+    keyed = keyed.withColumn("_mixed", F.min("_name").over(names) != F.max("_name").over(names))
+    nth = F.row_number().over(Window.partitionBy("_family").orderBy(order))
+    alone = keyed.where("not coalesce(_mixed, false)").withColumn("_n", nth)
+    alone = alone.withColumn("file_name", F.when(F.col("_n") == 1, F.col("_name")).otherwise(F.concat("_stem", F.lit(" ("), F.col("_n").cast("string"), F.lit(")"), "_ext"))).drop("_n")
+    mixed = keyed.where("_mixed").repartition("_family").sortWithinPartitions("_family", order)
+    mixed = mixed.mapInArrow(_free_names, T.StructType([*mixed.schema.fields, T.StructField("file_name", T.StringType())]))
+    return alone.unionByName(mixed).drop("_stem", "_ext", "_name", "_family", "_mixed")
 
 
 def unique_name(folder: Path, name: str) -> Path:

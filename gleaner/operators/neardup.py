@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+from itertools import combinations
+from math import comb
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import CONFIRM_SLACK
 from ..functions.hashing import hamming
+from ..tables import stored
 from .graph import components
 
 
@@ -27,26 +33,75 @@ def is_near(h1a: Column, h1b: Column, h2a: Column, h2b: Column, threshold: int,
     return near & F.coalesce(hamming(h2a, h2b) <= threshold + CONFIRM_SLACK, F.lit(True)) if confirm else near
 
 
-def near_pairs(hashes: DataFrame, threshold: int, confirm: bool = False, strategy: str = "banded") -> DataFrame:
+@dataclass(frozen=True)
+class Bands:
+    """A way to find all pairs within a distance: the bits cut into bands, and
+    for each the radius within which one side is looked up.
+
+    If two hashes differ in at most T bits and the radii r satisfy
+    sum(r + 1) = T + 1, some band differs in at most its r bits."""
+
+    edges: tuple[int, ...]
+    radii: tuple[int, ...]
+
+    @property
+    def probes(self) -> list[int]:
+        widths = [hi - lo for lo, hi in zip(self.edges, self.edges[1:], strict=False)]
+        return [sum(comb(w, k) for k in range(r + 1)) for w, r in zip(widths, self.radii, strict=True)]
+
+    def cost(self, n: int) -> float:
+        """Rows of the join on both sides and the pairs it compares, for n hashes spread evenly."""
+        widths = [hi - lo for lo, hi in zip(self.edges, self.edges[1:], strict=False)]
+        return n * (len(widths) + sum(self.probes)) + n * n / 2 * sum(p / 2.0**w for p, w in zip(self.probes, widths, strict=True))
+
+    @classmethod
+    def of(cls, threshold: int, count: int) -> Bands:
+        edges = tuple(64 * i // count for i in range(count + 1))
+        more, radius = (threshold + 1) % count, (threshold + 1) // count - 1
+        return cls(edges, tuple(radius + (i < more) for i in range(count)))
+
+    @classmethod
+    def best(cls, threshold: int, n: int) -> Bands:
+        """The cheapest for n hashes: bands grow wider, and their radii larger, with n."""
+        ways = [cls.of(threshold, m) for m in range(1, threshold + 2)]
+        return min((w for w in ways if max(w.probes) <= 4_096), key=lambda w: w.cost(n))
+
+
+def _masks(width: int, radius: int) -> Column:
+    values = [sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(width), k)]
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<long>")
+
+
+def candidates(values: DataFrame, threshold: int, bands: Bands) -> DataFrame:
+    """(ha, hb) with ha < hb of all distinct hashes ``h1`` within ``threshold``,
+    each pair once: it comes from the first band that would find it."""
+    x, y = F.col("x.h1"), F.col("y.h1")
+    spans = list(zip(bands.edges, bands.edges[1:], bands.radii, strict=False))
+    band = lambda h, lo, hi: F.shiftrightunsigned(h, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1))
+    held = values.select("h1", F.posexplode(F.array(*[band(F.col("h1"), lo, hi) for lo, hi, _ in spans])).alias("band", "value"))
+    looked = []
+    for i, (lo, hi, radius) in enumerate(spans):
+        changed = values.select("h1", F.explode(_masks(hi - lo, radius)).alias("mask"))
+        looked.append(changed.select("h1", F.lit(i).alias("band"), F.col("mask").bitwiseXOR(band(F.col("h1"), lo, hi)).alias("value")))
+    within = [F.bit_count(band(x.bitwiseXOR(y), lo, hi)) <= r for lo, hi, r in spans]
+    first = F.lit(len(spans))
+    for i in reversed(range(len(spans))):
+        first = F.when(within[i], F.lit(i)).otherwise(first)
+    on = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (x < y) & (hamming(x, y) <= threshold) & (F.col("x.band") == first)
+    return reduce(DataFrame.unionAll, looked).alias("x").join(held.alias("y"), on).select(x.alias("ha"), y.alias("hb"))
+
+
+def near_pairs(hashes: DataFrame, threshold: int, confirm: bool = False) -> DataFrame:
     """(a, b, dist) with a < b of all rows of (id, h1, h2) that are near.
 
-    banded: two hashes that differ in at most ``threshold`` of 64 bits agree in
-    one of threshold + 1 bands, so an equi-join on bands finds all pairs.  Rows
-    of one hash are one value in the join, and pairs are spelt out at the end.
-    plain: every pair is compared; for small inputs and as a check.
-    """
+    Two hashes within the threshold agree in some band but for a few bits, so
+    an equi-join of bands with bands changed in up to so many bits finds all
+    pairs; how many bands is chosen by cost from the number of distinct hashes
+    (``Bands``).  Rows of one hash are one value in that join, and pairs are
+    spelt out at the end, as many as the result has."""
     rows = hashes.where("id is not null and h1 is not null")
-    if strategy == "plain":
-        a, b = rows.alias("a"), rows.alias("b")
-        pairs = a.join(b, (F.col("a.id") < F.col("b.id")) & is_near(F.col("a.h1"), F.col("b.h1"), F.col("a.h2"), F.col("b.h2"), threshold, confirm))
-        return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(F.col("a.h1"), F.col("b.h1")).cast("int").alias("dist"))
-    values = rows.select("h1").distinct()
-    edge = [64 * i // (threshold + 1) for i in range(threshold + 2)]
-    bands = F.array(*[F.shiftrightunsigned("h1", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1 if hi - lo < 64 else -1)) for lo, hi in zip(edge, edge[1:], strict=False)])
-    banded = values.select("h1", F.posexplode(bands).alias("band", "value"))
-    x, y = banded.alias("x"), banded.alias("y")
-    near = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.h1") < F.col("y.h1")) & (hamming(F.col("x.h1"), F.col("y.h1")) <= threshold))
-    near = near.select(F.col("x.h1").alias("ha"), F.col("y.h1").alias("hb")).distinct()
+    values = stored(rows.select("h1").distinct(), "values")
+    near = candidates(values, threshold, Bands.best(threshold, values.count()))
     near = near.unionAll(values.select(F.col("h1").alias("ha"), F.col("h1").alias("hb")))
     left, right = rows.alias("l"), rows.alias("r")
     pairs = near.join(left, F.col("ha") == F.col("l.h1")).join(right, F.col("hb") == F.col("r.h1")).where((F.col("ha") != F.col("hb")) | (F.col("l.id") < F.col("r.id")))
@@ -71,33 +126,103 @@ def greedy_linkage(edges: list[tuple[int, int, int]], exact: list[tuple[int, int
     return {node: min(members) for node, members in group.items()}
 
 
-def complete_linkage(edges: DataFrame, exact: DataFrame | None = None) -> DataFrame:
+def _link(part: pd.DataFrame) -> pd.DataFrame:
+    tied = part["dist"].isna()
+    near = list(part.loc[~tied, ["a", "b", "dist"]].astype(int).drop_duplicates().itertuples(index=False, name=None))
+    found = greedy_linkage(near, list(part.loc[tied, ["a", "b"]].itertuples(index=False, name=None)))
+    return pd.DataFrame({"id": list(found), "group_id": list(found.values())}, dtype="int64")
+
+
+def _link_by_rounds(edges: DataFrame, exact: DataFrame) -> DataFrame:
+    """(id, group_id) as ``greedy_linkage`` has it, by joins.
+
+    A link of two groups is open while every pair across them is an edge, and
+    its rank is the first of these edges.  The greedy walk takes a link before
+    all others of both its groups if it ranks before them, so all links that do
+    are merged at once; links that are no longer open can never open again.
+    Each round is written to the shared folder; there are as many as the
+    longest run of merges that wait for each other."""
+    tied = components(exact)
+    nodes = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).unionAll(tied.select(F.col("node").alias("id"))).distinct()
+    member = stored(nodes.join(tied.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("g")), "members")
+    links = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).cast("long").alias("pairs"), F.struct("dist", "a", "b").alias("rank"))
+    changed = member.select(F.col("id").alias("old"), F.col("g").alias("new"))
+    while True:
+        size = member.groupBy("g").agg(F.count("*").alias("n"))
+        moved = links.join(changed.withColumnsRenamed({"old": "x", "new": "nx"}), "x", "left").join(changed.withColumnsRenamed({"old": "y", "new": "ny"}), "y", "left")
+        moved = moved.select(F.coalesce("nx", "x").alias("p"), F.coalesce("ny", "y").alias("q"), "pairs", "rank").where("p <> q")
+        summed = moved.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.sum("pairs").alias("pairs"), F.min("rank").alias("rank"))
+        of = lambda end: size.select(F.col("g").alias(end), F.col("n").alias(f"n{end}"))
+        links = stored(summed.join(of("x"), "x").join(of("y"), "y").where("pairs = nx * ny").select("x", "y", "pairs", "rank"), "links")
+        ends = links.select(F.col("x").alias("g"), "rank").unionAll(links.select(F.col("y").alias("g"), "rank"))
+        best = ends.groupBy("g").agg(F.min("rank").alias("best"))
+        first = lambda end: best.select(F.col("g").alias(end), F.col("best").alias(f"best_{end}"))
+        merged = stored(links.join(first("x"), "x").join(first("y"), "y").where("rank = best_x and rank = best_y").select(F.col("y").alias("old"), F.col("x").alias("new")), "merged")
+        if merged.isEmpty():
+            break
+        changed = merged
+        member = stored(member.join(merged.withColumnRenamed("old", "g"), "g", "left").select("id", F.coalesce("new", "g").alias("g")), "members")
+    linked = member.withColumnRenamed("g", "group_id")
+    several = linked.groupBy("group_id").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
+    return linked.join(several, "group_id").select("id", F.col("least").alias("group_id"))
+
+
+def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edges: int = 200_000) -> DataFrame:
     """(id, group_id) of groups of two or more in which every pair is near.
 
     edges: all near pairs (a, b, dist).  exact: pairs (a, b) that are one group
     whatever their distance, such as a chain over equal contents.  Merges only
-    follow edges, so connected components are independent and run in parallel.
+    follow edges, so connected components are independent: those of up to
+    ``most_edges`` edges are walked through in one task each, and larger ones
+    are linked by rounds of joins, to the same result.
     """
     ties = edges.select("a", "b", "dist")
     if exact is not None:
         ties = ties.unionAll(exact.select("a", "b", F.lit(None).cast("int").alias("dist")))
     placed = components(ties.select("a", "b"))
     work = ties.join(placed.withColumnRenamed("node", "a"), "a")
-
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        tied = part["dist"].isna()
-        near = list(part.loc[~tied, ["a", "b", "dist"]].astype(int).drop_duplicates().itertuples(index=False, name=None))
-        found = greedy_linkage(near, list(part.loc[tied, ["a", "b"]].itertuples(index=False, name=None)))
-        return pd.DataFrame({"id": list(found), "group_id": list(found.values())}, dtype="int64")
-
-    return work.groupBy("component").applyInPandas(link, "id long, group_id long")
+    large = stored(work.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > most_edges).select("component"), "large_components")
+    linked = lambda part: part.groupBy("component").applyInPandas(_link, "id long, group_id long")
+    if large.isEmpty():
+        return linked(work)
+    rest = stored(work.join(large, "component"), "large_edges")
+    by_rounds = _link_by_rounds(rest.where("dist is not null").select("a", "b", "dist").distinct(), rest.where("dist is null").select("a", "b"))
+    return linked(work.join(large, "component", "left_anti")).unionAll(by_rounds)
+
+
+def cluster(records: DataFrame, threshold: int, confirm: bool = False) -> DataFrame:
+    """(id, group_id) of the groups of records (id, content_hash, h1, h2): those
+    of one content always, others by complete linkage of near pairs.
+
+    Records of the same hashes have the same pairs, so each combination takes
+    part once, by its smallest id, and the rest follow it (apart from those whose
+    equals in content have other hashes, which stay by themselves).  Equal
+    contents tie combinations together.  A record without a first hash is near
+    to none."""
+    rows = records.where("id is not null").select("id", "content_hash", "h1", *(["h2"] if confirm else [F.lit(None).cast("long").alias("h2")]))
+    hashes = F.struct("h1", "h2")
+    uneven = rows.where("content_hash is not null").groupBy("content_hash").agg(F.min(hashes).alias("least"), F.max(hashes).alias("most")).where("not least <=> most").select("content_hash", F.lit(True).alias("uneven"))
+    rows = rows.join(uneven, "content_hash", "left").withColumn("apart", F.when(F.col("h1").isNull(), F.concat(F.lit("i"), F.col("id"))).when(F.col("uneven"), F.concat(F.lit("c"), F.col("content_hash"))))
+    key = F.xxhash64("h1", "h2", "apart")  # deals the rows; equality is decided on all three
+    rows = rows.withColumn("key", key)
+    alike = rows.groupBy("key", "h1", "h2", "apart").agg(F.min("id").alias("rep")).select("key", F.struct("h1", "h2", "apart").alias("same"), "rep")
+    rows = stored(rows.withColumn("this", F.struct("h1", "h2", "apart")).join(alike, "key").where("this <=> same").select("id", "content_hash", "h1", "h2", "rep"), "records")
+    firsts = rows.where("id = rep")
+    pairs = near_pairs(firsts.select("id", "h1", "h2"), threshold, confirm)
+    first = rows.where("content_hash is not null").groupBy("content_hash").agg(F.min("rep").alias("b"))
+    exact = rows.join(first, "content_hash").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
+    linked = complete_linkage(stored(pairs, "pairs"), exact)
+    grouped = rows.join(linked.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("group_id", "rep").alias("g"))
+    several = grouped.groupBy("g").agg(F.count("*").alias("n"), F.min("id").alias("group_id")).where("n > 1")
+    return grouped.join(several, "g").select("id", "group_id")
 
 
 def pair_distances(members: DataFrame) -> DataFrame:
-    """(group_id, a, b, dist, identical) of every pair within a group, from
-    (group_id, id, h1, content_hash); a missing hash leaves dist null."""
+    """(group_id, a, b, dist, dist2, identical) of every pair within a group, from
+    (group_id, id, h1, h2, content_hash); a missing hash leaves its distance null."""
     a, b = members.alias("a"), members.alias("b")
     pairs = a.join(b, (F.col("a.group_id") == F.col("b.group_id")) & (F.col("a.id") < F.col("b.id")))
+    second = hamming(F.col("a.h2"), F.col("b.h2")).cast("int") if "h2" in members.columns else F.lit(None).cast("int")
     return pairs.select(
-        F.col("a.group_id").alias("group_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(F.col("a.h1"), F.col("b.h1")).cast("int").alias("dist"), (F.col("a.content_hash") == F.col("b.content_hash")).alias("identical")
+        F.col("a.group_id").alias("group_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"), hamming(F.col("a.h1"), F.col("b.h1")).cast("int").alias("dist"), second.alias("dist2"), (F.col("a.content_hash") == F.col("b.content_hash")).alias("identical")
     )

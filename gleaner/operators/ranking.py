@@ -30,13 +30,16 @@ def normalise(members: DataFrame, scene: str = "portrait", group: str = "group_i
 def winners(members: DataFrame, group: str = "group_id", member: str = "id") -> DataFrame:
     """(group, winner, by_raw): the best by score, sharpness, focus, the last
     of equals; but if records in raw format are nearly as good in score and in
-    sharpness, the best of these by score, sharpness, area, size and path."""
+    sharpness, the best of these by score, sharpness, area, size and path.
+    Where nothing is sharp no record is nearly as sharp as the sharpest, whose
+    sharpness counts as 1e-9 at least."""
     w = Window.partitionBy(group)
-    top, sharp = F.max("score").over(w), F.max("sharpness").over(w)
-    near = (top - F.col("score") <= NEAR_TIE * F.abs(top) + 1e-9) & ((sharp <= 0) | ((sharp - F.col("sharpness")) / sharp <= NEAR_TIE))
+    known = lambda c: F.nanvl(F.col(c), F.lit(None))
+    top, sharp = F.max(known("score")).over(w), F.greatest(F.max(known("sharpness")).over(w), F.lit(1e-9))
+    near = (top - F.col("score") <= NEAR_TIE * F.abs(top) + 1e-9) & ((sharp - F.col("sharpness")) / sharp <= NEAR_TIE)
     rows = members.withColumn("_raw", F.col("is_raw") & near)
     best = F.max_by(member, F.struct("score", "sharpness", "focus", member))
-    raw = F.max_by(member, F.when(F.col("_raw"), F.struct("score", "sharpness", "area", "size", "path", member)))
+    raw = F.max_by(member, F.when(F.col("_raw"), F.struct("score", "sharpness", "area", "size", F.split("path", "/"), member)))
     return rows.groupBy(group).agg(best.alias("_best"), raw.alias("_of_raw")).select(group, F.coalesce("_of_raw", "_best").alias("winner"), F.col("_of_raw").isNotNull().alias("by_raw"))
 
 

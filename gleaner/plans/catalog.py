@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EngineConfig
@@ -12,24 +10,10 @@ from ..functions import hashing, scoring, tiles
 from ..operators import cache, editplan, eventlog, manifest, neardup, ranking, telemetry
 from ..sources import files
 from ..tables import stored, table
+from . import images
+from .registry import ORACLE_SQL, QUERIES, Query, r6, register
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def add(query: Query) -> Query:
-        QUERIES[name] = query
-        if sql:
-            ORACLE_SQL[name] = sql
-        return query
-
-    return add
-
-
-def r6(column):
-    return F.round(column, 6)
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 # --- documents: exact groups ------------------------------------------------
@@ -80,6 +64,18 @@ def run_summary(spark, sf):
     return manifest.summary(_manifest(spark, sf))
 
 
+@register(
+    "dest_name_probe",
+    """WITH RECURSIVE o AS (SELECT doc_id, lang, CASE WHEN doc_id % 4 = 0 THEN 'a (2).txt' ELSE 'a.txt' END AS name, row_number() OVER (PARTITION BY lang, doc_id // 64 ORDER BY doc_id) AS n, doc_id // 64 AS b FROM documents),
+    t AS (SELECT lang, b, 0::BIGINT AS n, CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS VARCHAR) AS file_name, CAST([] AS VARCHAR[]) AS taken FROM o GROUP BY lang, b
+        UNION ALL SELECT f.lang, f.b, f.n, f.doc_id, f.free, list_append(f.taken, f.free) FROM (SELECT o.lang, o.b, o.n, o.doc_id, t.taken, CASE WHEN NOT list_contains(t.taken, o.name) THEN o.name ELSE (SELECT replace(o.name, '.txt', '') || ' (' || CAST(min(i) AS VARCHAR) || ').txt' FROM range(2, 200) r(i) WHERE NOT list_contains(t.taken, replace(o.name, '.txt', '') || ' (' || CAST(i AS VARCHAR) || ').txt')) END AS free FROM t JOIN o ON o.lang = t.lang AND o.b = t.b AND o.n = t.n + 1) f)
+    SELECT doc_id, file_name FROM t WHERE n > 0""",
+)
+def dest_name_probe(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", F.concat_ws("/", "lang", F.floor(F.col("doc_id") / 64).cast("string")).alias("destination"), F.when(F.col("doc_id") % 4 == 0, "a (2).txt").otherwise("a.txt").alias("name"))
+    return manifest.destination_names(docs, "name", "doc_id").select("doc_id", "file_name")
+
+
 @register(
     "dest_name_suffix",
     "SELECT doc_id, lang AS destination, CASE WHEN row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) = 1 THEN source || '.txt' ELSE source || ' (' || CAST(row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS VARCHAR) || ').txt' END AS file_name FROM documents",
@@ -129,14 +125,18 @@ def _edges_sql(threshold: int, confirm: bool = False) -> str:
     return f"e AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b, CAST(bit_count(xor(a.h1, b.h1)) AS INTEGER) AS dist FROM fp a JOIN fp b ON a.doc_id < b.doc_id WHERE bit_count(xor(a.h1, b.h1)) <= {threshold}{more})"
 
 
-_REACH = "sym AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT x, y FROM sym UNION SELECT r.x, sym.y FROM r JOIN sym ON r.y = sym.x), comp AS MATERIALIZED (SELECT x AS node, least(x, min(y)) AS c FROM r GROUP BY x)"
+def reach_sql() -> str:
+    return "sym AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r(x, y) AS (SELECT x, y FROM sym UNION SELECT r.x, sym.y FROM r JOIN sym ON r.y = sym.x), comp AS MATERIALIZED (SELECT x AS node, least(x, min(y)) AS c FROM r GROUP BY x)"
 
 
-def _linkage_sql(threshold: int) -> str:
+_REACH = reach_sql()
+
+
+def linkage_of() -> str:
+    """sized(id, group_id, n): greedy complete linkage over the edges e, whose components are comp."""
     near = "(s.ls[q.i] = s.ls[num.i] AND s.ls[q.j] = s.ls[num.j]) OR (s.ls[q.i] = s.ls[num.j] AND s.ls[q.j] = s.ls[num.i])"
     size = lambda i: f"len(list_filter(s.ls, lambda l: l = s.ls[num.{i}]))"
-    return f"""WITH RECURSIVE {_FP}, {_edges_sql(threshold)}, {_REACH},
-        ms AS MATERIALIZED (SELECT c, list(node ORDER BY node) AS m FROM comp GROUP BY c),
+    return f"""ms AS MATERIALIZED (SELECT c, list(node ORDER BY node) AS m FROM comp GROUP BY c),
         num AS MATERIALIZED (SELECT comp.c, row_number() OVER (PARTITION BY comp.c ORDER BY e.dist, e.a, e.b) AS k, list_position(ms.m, e.a) AS i, list_position(ms.m, e.b) AS j FROM e JOIN comp ON comp.node = e.a JOIN ms ON ms.c = comp.c),
         near AS MATERIALIZED (SELECT c, list({{'i': i, 'j': j}}) AS p FROM num GROUP BY c),
         s AS (
@@ -151,6 +151,10 @@ def _linkage_sql(threshold: int) -> str:
         sized AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM flat)"""
 
 
+def _linkage_sql(threshold: int) -> str:
+    return f"WITH RECURSIVE {_FP}, {_edges_sql(threshold)}, {_REACH}, {linkage_of()}"
+
+
 def _hashes(spark, sf):
     """Written once: every pair query reads it several times."""
     fp = hashing.fingerprints(table(spark, sf, "documents"))
@@ -163,14 +167,13 @@ def doc_fingerprint(spark, sf):
     return fp.select("doc_id", hashing.hex16(F.col("h1")).alias("fingerprint"), hashing.hex16(F.col("h2")).alias("second"))
 
 
-def _pairs(threshold: int, confirm: bool, strategy: str) -> Query:
-    return lambda spark, sf: neardup.near_pairs(_hashes(spark, sf), threshold, confirm, strategy)
+def _pairs(threshold: int, confirm: bool) -> Query:
+    return lambda spark, sf: neardup.near_pairs(_hashes(spark, sf), threshold, confirm)
 
 
 for _name, _t in (("strict", 3), ("balanced", 7), ("loose", 12)):
-    register(f"near_pairs_{_name}", f"WITH {_FP}, {_edges_sql(_t)} SELECT a, b, dist FROM e")(_pairs(_t, False, "banded"))
-register("near_pairs_confirmed", f"WITH {_FP}, {_edges_sql(7, True)} SELECT a, b, dist FROM e")(_pairs(7, True, "banded"))
-register("near_pairs_plain", f"WITH {_FP}, {_edges_sql(7, True)} SELECT a, b, dist FROM e")(_pairs(7, True, "plain"))
+    register(f"near_pairs_{_name}", f"WITH {_FP}, {_edges_sql(_t)} SELECT a, b, dist FROM e")(_pairs(_t, False))
+register("near_pairs_confirmed", f"WITH {_FP}, {_edges_sql(7, True)} SELECT a, b, dist FROM e")(_pairs(7, True))
 
 
 @register("components", f"WITH RECURSIVE {_FP}, {_edges_sql(7)}, {_REACH} SELECT node, c AS component FROM comp")
@@ -181,7 +184,11 @@ def components(spark, sf):
 
 
 def _linkage(threshold: int) -> Query:
-    return lambda spark, sf: neardup.complete_linkage(stored(neardup.near_pairs(_hashes(spark, sf), threshold, strategy="banded" if threshold < 16 else "plain"), "edges"))
+    return lambda spark, sf: neardup.cluster(_as_records(_hashes(spark, sf)), threshold)
+
+
+def _as_records(hashes: DataFrame) -> DataFrame:
+    return hashes.withColumn("content_hash", F.lit(None).cast("string"))
 
 
 for _t in (3, 7, 12, 17):
@@ -195,7 +202,7 @@ for _t in (3, 7, 12, 17):
 def dedupe_documents(spark, sf):
     """Near-duplicate groups of documents and the longest text of each, the first of equals."""
     hashes = _hashes(spark, sf)
-    groups = neardup.complete_linkage(stored(neardup.near_pairs(hashes, EngineConfig().threshold), "edges"))
+    groups = neardup.cluster(_as_records(hashes), EngineConfig().threshold)
     return groups.join(hashes.select("id", "n_chars"), "id").groupBy("group_id").agg(F.count("*").alias("group_size"), F.max_by("id", F.struct("n_chars", -F.col("id"))).alias("winner"))
 
 
@@ -208,7 +215,7 @@ def pair_distances_in_group(spark, sf):
     first = F.min("doc_id").over(Window.partitionBy("lang", F.substring("text", 1, 40)))
     docs = table(spark, sf, "documents").select("doc_id", first.alias("group_id"), F.sha2(F.col("text").cast("binary"), 256).alias("content_hash"))
     fp = hashing.fingerprints(table(spark, sf, "documents")).select("doc_id", "h1")
-    return neardup.pair_distances(docs.join(fp, "doc_id", "left").withColumnRenamed("doc_id", "id"))
+    return neardup.pair_distances(docs.join(fp, "doc_id", "left").withColumnRenamed("doc_id", "id")).drop("dist2")
 
 
 # --- tiles -------------------------------------------------------------------
@@ -372,8 +379,8 @@ def normalized_landscape(spark, sf):
 
 @register(
     "group_winner",
-    f"""WITH {_NORMAL}, w AS (SELECT *, vec_id % 3 = 0 AS is_raw, max(score) OVER (PARTITION BY label) AS top, max(sharpness) OVER (PARTITION BY label) AS sharp FROM s),
-    v AS (SELECT *, is_raw AND top - score <= 0.02 * abs(top) + 1e-9 AND (sharp <= 0 OR (sharp - sharpness) / sharp <= 0.02) AS r FROM w),
+    f"""WITH {_NORMAL}, w AS (SELECT *, vec_id % 3 = 0 AS is_raw, max(score) OVER (PARTITION BY label) AS top, greatest(max(sharpness) OVER (PARTITION BY label), 1e-9) AS sharp FROM s),
+    v AS (SELECT *, is_raw AND top - score <= 0.02 * abs(top) + 1e-9 AND (sharp - sharpness) / sharp <= 0.02 AS r FROM w),
     o AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, sharpness DESC, focus DESC, vec_id DESC) AS a, row_number() OVER (PARTITION BY label ORDER BY r DESC, score DESC, sharpness DESC, vec_id * 10 % 97 DESC, 'p' || CAST(vec_id AS VARCHAR) DESC) AS b FROM v)
     SELECT label AS group_id, max(CASE WHEN b = 1 AND r THEN vec_id WHEN a = 1 AND NOT any_raw THEN vec_id END) AS winner, bool_or(r) AS by_raw FROM (SELECT *, bool_or(r) OVER (PARTITION BY label) AS any_raw FROM o) GROUP BY label""",
 )
@@ -434,14 +441,18 @@ def _memo(spark, sf):
     return now, memo
 
 
-@register("cache_hits_misses", "SELECT count(*) AS files, count(*) FILTER (WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0) AS hits, count(*) FILTER (WHERE doc_id % 3 = 0 OR doc_id % 5 = 0) AS misses FROM documents")
+_MEMO_SQL = """now AS (SELECT doc_id, source || '/' || CAST(doc_id AS VARCHAR) AS path, n_chars AS size, doc_id * 7 AS secs, sha256(text) AS h FROM documents),
+    memo AS (SELECT path, size, CASE WHEN doc_id % 5 = 0 THEN secs - 1 ELSE secs END AS secs, h FROM now WHERE doc_id % 3 <> 0)"""
+
+
+@register("cache_hits_misses", f"WITH {_MEMO_SQL} SELECT count(*) AS files, count(m.h) AS hits, count(*) FILTER (WHERE m.h IS NULL) AS misses FROM now n LEFT JOIN memo m ON m.path = n.path AND m.size = n.size AND m.secs = n.secs")
 def cache_hits_misses(spark, sf):
     now, memo = _memo(spark, sf)
     found = cache.look_up(now.drop("content_hash"), memo)
     return found.agg(F.count("*").alias("files"), F.count("content_hash").alias("hits"), F.count_if(F.col("content_hash").isNull()).alias("misses"))
 
 
-@register("cache_upsert", "SELECT source || '/' || CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 5 = 0 AND doc_id % 3 <> 0 AND doc_id % 2 = 1 THEN doc_id * 7 - 1 ELSE doc_id * 7 END AS mtime_secs FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0")
+@register("cache_upsert", f"WITH {_MEMO_SQL}, fresh AS (SELECT path, secs FROM now WHERE doc_id % 2 = 0) SELECT coalesce(f.path, m.path) AS path, coalesce(f.secs, m.secs) AS mtime_secs FROM memo m FULL JOIN fresh f ON f.path = m.path")
 def cache_upsert(spark, sf):
     now, memo = _memo(spark, sf)
     return cache.upsert(memo, now.where("doc_id % 2 = 0").drop("doc_id")).select("path", "mtime_secs")
@@ -450,26 +461,95 @@ def cache_upsert(spark, sf):
 # --- edit plans, chats, events ------------------------------------------------
 
 
+_STRENGTH_SQL = "(['small', 'medium', 'high', 'off'])[{0} % 4 + 1]"
+_SHARPEN_SQL = "(VALUES ('small', 25.0::DOUBLE, 1.0::DOUBLE, 25.0::DOUBLE, 70.0::DOUBLE), ('medium', 40.0, 1.0, 35.0, 80.0), ('high', 55.0, 1.2, 40.0, 85.0)) {0}(strength, amount, radius, detail, masking)"
+_VIGNETTE_SQL = "(VALUES ('small', -10.0::DOUBLE, 50.0::DOUBLE, 0.0::DOUBLE, 50.0::DOUBLE), ('medium', -20.0, 45.0, 0.0, 60.0), ('high', -35.0, 40.0, 0.0, 70.0)) {0}(strength, amount, midpoint, roundness, feather)"
+
+
+def _strength(by) -> F.Column:
+    return F.element_at(F.array(*[F.lit(s) for s in ("small", "medium", "high", "off")]), (by % 4 + 1).cast("int"))
+
+
 @register(
     "recipe_lookup",
-    "WITH s AS (SELECT c_custkey, (['low', 'medium', 'high', 'off'])[c_nationkey % 4 + 1] AS strength FROM customer), r(strength, sharpen_amount, sharpen_radius, vignette_amount, vignette_midpoint) AS (VALUES "
-    + ", ".join(f"('{s}', {editplan.SHARPEN[s][0]}::DOUBLE, {editplan.SHARPEN[s][1]}::DOUBLE, {editplan.VIGNETTE[s][0]}::DOUBLE, {editplan.VIGNETTE[s][1]}::DOUBLE)" for s in editplan.SHARPEN)
-    + ") SELECT s.c_custkey, s.strength, r.sharpen_amount, r.sharpen_radius, r.vignette_amount, r.vignette_midpoint FROM s LEFT JOIN r USING (strength)",
+    f"SELECT c_custkey, x.strength, s.amount AS sharpen_amount, s.radius AS sharpen_radius, s.detail AS sharpen_detail, s.masking AS sharpen_masking, v.amount AS vignette_amount, v.midpoint AS vignette_midpoint, v.roundness AS vignette_roundness, v.feather AS vignette_feather FROM (SELECT c_custkey, {_STRENGTH_SQL.format('c_nationkey')} AS strength FROM customer) x LEFT JOIN {_SHARPEN_SQL.format('s')} ON s.strength = x.strength LEFT JOIN {_VIGNETTE_SQL.format('v')} ON v.strength = x.strength",
 )
 def recipe_lookup(spark, sf):
-    strength = F.element_at(F.array(*[F.lit(s) for s in ("low", "medium", "high", "off")]), F.col("c_nationkey") % 4 + 1)
-    return editplan.with_recipe(table(spark, sf, "customer").select("c_custkey", strength.alias("strength")))
+    return editplan.with_recipe(table(spark, sf, "customer").select("c_custkey", _strength(F.col("c_nationkey")).alias("strength")))
+
+
+def _settings_text(settings) -> F.Column:
+    """A map of numbers as key=value, by key."""
+    entries = F.array_sort(F.transform(F.map_entries(settings), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"]))))
+    return F.array_join(entries, ";")
+
+
+_PLAN_SQL = f"""q AS (SELECT c_custkey AS k, c_custkey // 256 AS more, {_STRENGTH_SQL.format('c_custkey')} AS ss, {_STRENGTH_SQL.format('(c_custkey // 4)')} AS vs, (['small', 'medium', 'high'])[c_custkey % 3 + 1] AS bs FROM customer),
+    p AS (SELECT k, bs, s.strength AS known_s, v.strength AS known_v,
+        CASE WHEN k & 1 > 0 THEN s.amount END AS "Sharpness", CASE WHEN k & 1 > 0 THEN s.radius END AS "SharpenRadius", CASE WHEN k & 1 > 0 THEN s.detail END AS "SharpenDetail", CASE WHEN k & 1 > 0 THEN s.masking END AS "SharpenEdgeMasking",
+        CASE WHEN k & 2 > 0 THEN v.amount END AS "PostCropVignetteAmount", CASE WHEN k & 2 > 0 THEN v.midpoint END AS "PostCropVignetteMidpoint", CASE WHEN k & 2 > 0 THEN v.roundness END AS "PostCropVignetteRoundness", CASE WHEN k & 2 > 0 THEN v.feather END AS "PostCropVignetteFeather", CASE WHEN k & 2 > 0 THEN 1.0 END AS "PostCropVignetteStyle",
+        CASE WHEN k & 4 > 0 THEN 8.0 END AS "Contrast2012", CASE WHEN k & 4 > 0 THEN 8.0 END AS "Vibrance", CASE WHEN k & 8 > 0 THEN 0.0 END AS "Exposure2012", CASE WHEN k & 8 > 0 THEN -10.0 END AS "Highlights2012", CASE WHEN k & 8 > 0 THEN 10.0 END AS "Shadows2012",
+        CASE WHEN k & 16 > 0 THEN 20.0 END AS "LuminanceSmoothing", CASE WHEN k & 16 > 0 THEN 25.0 END AS "ColorNoiseReduction"
+        FROM q LEFT JOIN {_SHARPEN_SQL.format('s')} ON s.strength = ss LEFT JOIN {_VIGNETTE_SQL.format('v')} ON v.strength = vs)"""
+_PLAN_KEYS = ("ColorNoiseReduction", "Contrast2012", "Exposure2012", "Highlights2012", "LuminanceSmoothing", "PostCropVignetteAmount", "PostCropVignetteFeather", "PostCropVignetteMidpoint", "PostCropVignetteRoundness", "PostCropVignetteStyle", "Shadows2012", "SharpenDetail", "SharpenEdgeMasking", "SharpenRadius", "Sharpness", "Vibrance")
+_PLAN_TEXT = "concat_ws(';', " + ", ".join(f"""CASE WHEN "{k}" IS NOT NULL THEN '{k}=' || printf('%.2f', CAST("{k}" AS DOUBLE)) END""" for k in _PLAN_KEYS) + ")"
+
+
+def _customer_plan():
+    k = F.col("c_custkey")
+    bit = lambda n: k.bitwiseAND(F.lit(n)) > 0
+    third = F.element_at(F.array(F.lit("small"), F.lit("medium"), F.lit("high")), (k % 3 + 1).cast("int"))
+    return editplan.plan(
+        eye_sharpen=bit(1), eye_sharpen_strength=_strength(k), vignette=bit(2), vignette_strength=_strength(F.floor(k / 4)), color_tone=bit(4), exposure_normalize=bit(8), noise_reduction=bit(16), white_balance=bit(32), optimal_crop=bit(64), subject_blur=bit(128), subject_blur_strength=third
+    )
 
 
 @register(
-    "plan_overlay_clamp",
-    "SELECT c_custkey, least(greatest(c_acctbal / 10000 + 1.9, -2.0), 2.0) AS exposure, CASE WHEN c_nationkey % 2 = 0 THEN 50.0::DOUBLE ELSE 10.0::DOUBLE END AS contrast, -100.0::DOUBLE AS shadows, 1.0::DOUBLE AS other, CAST(NULL AS DOUBLE) AS unknown FROM customer",
+    "edit_plan",
+    f"WITH {_PLAN_SQL} SELECT k AS c_custkey, {_PLAN_TEXT} AS settings, CASE WHEN k & 32 > 0 THEN 'Auto' END AS white_balance, CASE WHEN k & 64 > 0 THEN 1 ELSE 0 END AS warnings, CASE WHEN k & 128 > 0 THEN bs END AS subject_blur FROM p",
 )
-def plan_overlay_clamp(spark, sf):
-    settings = F.create_map(F.lit("exposure"), F.col("c_acctbal") / 10000, F.lit("contrast"), F.lit(10.0), F.lit("other"), F.lit(1.0))
-    deltas = F.create_map(F.lit("exposure"), F.lit(1.9), F.lit("contrast"), F.when(F.col("c_nationkey") % 2 == 0, F.lit(45.0)), F.lit("shadows"), F.lit(-120.0), F.lit("unknown"), F.lit(3.0))
-    rows = table(spark, sf, "customer").select("c_custkey", editplan.overlay(settings, deltas).alias("p"))
-    return rows.select("c_custkey", *[F.try_element_at("p", F.lit(k)).alias(k) for k in ("exposure", "contrast", "shadows", "other", "unknown")])
+def edit_plan(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", _customer_plan().alias("p"))
+    return rows.select("c_custkey", _settings_text(F.col("p.settings")).alias("settings"), F.try_element_at("p.texts", F.lit("WhiteBalance")).alias("white_balance"), F.size("p.warnings").alias("warnings"), F.col("p.subject_blur_strength").alias("subject_blur"))
+
+
+_ANSWER_SQL = """CASE c_custkey % 6 WHEN 0 THEN '{"exposureDelta": 0.75, "contrastDelta": -30, "vibranceDelta": 5.5}' WHEN 1 THEN '{"eyeSharpenStrength": "high", "exposureDelta": -3}' WHEN 2 THEN '{"vignetteStrength": "small", "subjectBlurStrength": "high", "unknown": 1}'
+    WHEN 3 THEN '{"eyeSharpenStrength": "extreme"}' WHEN 4 THEN 'no json' ELSE '{}' END"""
+
+
+def _answer() -> F.Column:
+    c = F.col("c_custkey") % 6
+    given = ['{"exposureDelta": 0.75, "contrastDelta": -30, "vibranceDelta": 5.5}', '{"eyeSharpenStrength": "high", "exposureDelta": -3}', '{"vignetteStrength": "small", "subjectBlurStrength": "high", "unknown": 1}', '{"eyeSharpenStrength": "extreme"}', "no json", "{}"]
+    return F.element_at(F.array(*[F.lit(x) for x in given]), (c + 1).cast("int"))
+
+
+_NEW = {
+    "Exposure2012": 'CASE k % 6 WHEN 0 THEN least(coalesce("Exposure2012", 0) + 0.75, 1.0) WHEN 1 THEN greatest(coalesce("Exposure2012", 0) - 3, -1.0) ELSE "Exposure2012" END',
+    "Contrast2012": 'CASE k % 6 WHEN 0 THEN greatest(coalesce("Contrast2012", 0) - 30, -20.0) ELSE "Contrast2012" END',
+    "Vibrance": 'CASE k % 6 WHEN 0 THEN coalesce("Vibrance", 0) + 5.5 ELSE "Vibrance" END',
+} | {k: f'CASE k % 6 WHEN 1 THEN {v} ELSE "{k}" END' for k, v in (("Sharpness", 55.0), ("SharpenRadius", 1.2), ("SharpenDetail", 40.0), ("SharpenEdgeMasking", 85.0))}
+_NEW |= {k: f'CASE k % 6 WHEN 2 THEN {v} ELSE "{k}" END' for k, v in (("PostCropVignetteAmount", -10.0), ("PostCropVignetteMidpoint", 50.0), ("PostCropVignetteRoundness", 0.0), ("PostCropVignetteFeather", 50.0))}
+
+
+@register(
+    "edit_plan_adjusted",
+    f"WITH {_PLAN_SQL}, n AS (SELECT k, bs, " + ", ".join(f'{_NEW.get(c, chr(34) + c + chr(34))} AS "{c}"' for c in _PLAN_KEYS) + f" FROM p) SELECT k AS c_custkey, k % 6 IN (3, 4) AS refused, CASE WHEN k % 6 NOT IN (3, 4) THEN {_PLAN_TEXT} END AS settings, CASE WHEN k % 6 = 2 THEN 'high' WHEN k % 6 NOT IN (3, 4) AND k & 128 > 0 THEN bs END AS subject_blur FROM n",
+)
+def edit_plan_adjusted(spark, sf):
+    rows = table(spark, sf, "customer").select("c_custkey", _customer_plan().alias("p"), editplan.adjustments(_answer()).alias("a"))
+    new = editplan.adjusted(F.col("p"), F.col("a"))
+    rows = rows.select("c_custkey", F.col("a").isNull().alias("refused"), F.when(F.col("a").isNotNull(), new).alias("n"))
+    return rows.select("c_custkey", "refused", F.when(~F.col("refused"), _settings_text(F.col("n.settings"))).alias("settings"), F.col("n.subject_blur_strength").alias("subject_blur"))
+
+
+@register(
+    "vision_models",
+    "WITH m AS (SELECT p_partkey, (['qwen2.5vl:7b', 'LLaVA:13b', 'llama3', 'Gemma3:4b', 'mistral', 'minicpm-v', 'InternVL2', 'phi'])[p_partkey % 8 + 1] AS name, (['[\"vision\"]', '[\"completion\"]', NULL])[p_partkey % 3 + 1] AS caps FROM part) SELECT p_partkey, name, caps LIKE '%\"vision\"%' IS TRUE OR regexp_matches(lower(name), 'vl|vision|llava|moondream|minicpm-v|bakllava|gemma3|pixtral|internvl|cogvlm') AS sees FROM m",
+)
+def vision_models(spark, sf):
+    pick = lambda values, n: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("p_partkey") % n + 1).cast("int"))
+    name = pick(("qwen2.5vl:7b", "LLaVA:13b", "llama3", "Gemma3:4b", "mistral", "minicpm-v", "InternVL2", "phi"), 8)
+    return table(spark, sf, "part").select("p_partkey", name.alias("name"), editplan.sees_images(name, pick(('["vision"]', '["completion"]', None), 3)).alias("sees"))
 
 
 def _chat_sql(most: int, size: int) -> str:
@@ -501,18 +581,20 @@ def event_last_by_type(spark, sf):
     return eventlog.last_events_by(table(spark, sf, "events"), "event_type", 50).select("event_id", "event_type", "place")
 
 
-_LEVEL_SQL = "(['DEBUG', ' info', 'Warn', 'error', 'fatal'])[user_id % 5 + 1]"
+_LEVELS = ("DEBUG", " info", "warn", "error", "fatal", "debug")
+_MESSAGE_SQL = "'E' || CAST(page_id % 9 AS VARCHAR) || ': saved ' || url || ' to ' || (['/Users/ann/Pictures/p', '/tmp/a', '/home/ann/p', '/Volumes/disk one/p', '/private/var/x;/tmp/y'])[page_id % 5 + 1] || CAST(page_id AS VARCHAR) || '.jpg, now'"
 
 
-@register("event_levels", f"WITH e AS (SELECT lower(trim({_LEVEL_SQL})) AS l FROM events) SELECT CASE WHEN l IN ('debug', 'info', 'warn', 'error') THEN l ELSE 'info' END AS level, count(*) AS n FROM e GROUP BY 1")
+@register("event_levels", "SELECT CASE user_id % 6 WHEN 2 THEN 'warn' WHEN 3 THEN 'error' WHEN 5 THEN 'debug' ELSE 'info' END AS level, count(*) AS n FROM events GROUP BY 1")
 def event_levels(spark, sf):
-    given = F.element_at(F.array(*[F.lit(x) for x in ("DEBUG", " info", "Warn", "error", "fatal")]), (F.col("user_id") % 5 + 1).cast("int"))
+    given = F.element_at(F.array(*[F.lit(x) for x in _LEVELS]), (F.col("user_id") % 6 + 1).cast("int"))
     return table(spark, sf, "events").groupBy(eventlog.level(given).alias("level")).agg(F.count("*").alias("n"))
 
 
-@register("redact_paths", "SELECT page_id, regexp_replace('E' || CAST(page_id % 9 AS VARCHAR) || ': saved ' || url || ' to /Users/ann/Pictures/p' || CAST(page_id AS VARCHAR) || '.jpg now', '(?:/[A-Za-z0-9._%~-]+){2,}/?', '[path]', 'g') AS message, 'E' || CAST(page_id % 9 AS VARCHAR) AS code FROM pages")
+@register("redact_paths", f"SELECT page_id, regexp_replace({_MESSAGE_SQL}, '/(Users|Volumes|private|tmp)/[^ \t\r\n,;)]+', '[path]', 'g') AS message, 'E' || CAST(page_id % 9 AS VARCHAR) AS code FROM pages")
 def redact_paths(spark, sf):
-    message = F.concat(F.lit("E"), (F.col("page_id") % 9).cast("string"), F.lit(": saved "), "url", F.lit(" to /Users/ann/Pictures/p"), F.col("page_id").cast("string"), F.lit(".jpg now"))
+    where = F.element_at(F.array(*[F.lit(x) for x in ("/Users/ann/Pictures/p", "/tmp/a", "/home/ann/p", "/Volumes/disk one/p", "/private/var/x;/tmp/y")]), (F.col("page_id") % 5 + 1).cast("int"))
+    message = F.concat(F.lit("E"), (F.col("page_id") % 9).cast("string"), F.lit(": saved "), "url", F.lit(" to "), where, F.col("page_id").cast("string"), F.lit(".jpg, now"))
     return table(spark, sf, "pages").select("page_id", eventlog.redacted(message).alias("message"), eventlog.error_code(message).alias("code"))
 
 
@@ -534,28 +616,90 @@ def next_version(spark, sf):
     return manifest.next_version(names, "Processed-Images")
 
 
-@register("answer_match", "WITH c AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '2 is best' WHEN 1 THEN 'I take b.jpg' WHEN 2 THEN '9' ELSE 'none' END AS answer FROM conversations) SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN 2 WHEN turn % 4 = 1 THEN 2 ELSE 0 END AS picked FROM c")
+_ANSWERS = ("2 is best", "I take b.jpg", "9", "none", " 3", "12 or a.jpg", "", "c.jpg.")
+
+
+def _given(values, column: str):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(column) % len(values) + 1).cast("int"))
+
+
+_ANSWERS_SQL = "c AS (SELECT event_id, (['2 is best', 'I take b.jpg', '9', 'none', ' 3', '12 or a.jpg', '', 'c.jpg.'])[event_id % 8 + 1] AS answer, list_transform([1, 2, 3], lambda i: chr(CAST(97 + (event_id + i) % (3 + event_id % 2) AS INTEGER)) || '.jpg') AS names FROM events), n AS (SELECT *, try_cast(nullif(regexp_extract(trim(answer), '^[0-9]+'), '') AS INTEGER) AS number FROM c)"
+
+
+def _answers(spark, sf):
+    names = F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda i: F.concat(F.char(F.lit(97) + (F.col("event_id") + i) % (3 + F.col("event_id") % 2)), F.lit(".jpg")))
+    return table(spark, sf, "events").select("event_id", _given(_ANSWERS, "event_id").alias("answer"), names.alias("names"))
+
+
+@register("answer_match", f"WITH {_ANSWERS_SQL} SELECT event_id, CASE WHEN number BETWEEN 1 AND 3 THEN number ELSE (SELECT min(i) FROM range(1, 4) t(i) WHERE contains(answer, names[i])) END AS picked FROM n")
 def answer_match(spark, sf):
-    turn = F.col("turn") % 4
-    answer = F.when(turn == 0, "2 is best").when(turn == 1, "I take b.jpg").when(turn == 2, "9").otherwise("none")
-    return table(spark, sf, "conversations").select("conv_id", "turn", editplan.answer_index(answer, F.array(F.lit("a.jpg"), F.lit("b.jpg"), F.lit("c.jpg"))).alias("_p")).select("conv_id", "turn", F.coalesce("_p", F.lit(0)).alias("picked"))
+    return _answers(spark, sf).select("event_id", editplan.answer_index(F.col("answer"), F.col("names")).cast("long").alias("picked"))
 
 
-@register("telemetry_jsonl")
+@register("score_answer_match", f"WITH {_ANSWERS_SQL} SELECT event_id, (SELECT min(i) FROM range(1, 4) t(i) WHERE contains(trim(answer), names[i]) OR contains(names[i], trim(answer))) AS picked FROM n")
+def score_answer_match(spark, sf):
+    return _answers(spark, sf).select("event_id", editplan.score_answer_index(F.col("answer"), F.col("names")).cast("long").alias("picked"))
+
+
+@register("model_replies", "WITH r AS (SELECT conv_id, turn, json_object('message', json_object('role', role, 'content', '  ' || text || ' ')) AS reply FROM conversations) SELECT conv_id, turn, trim(reply->>'$.message.content') AS reply, reply->>'$.response' AS generated FROM r")
+def model_replies(spark, sf):
+    reply = F.to_json(F.struct(F.struct("role", F.concat(F.lit("  "), "text", F.lit(" ")).alias("content")).alias("message")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", editplan.chat_reply(reply).alias("reply"), editplan.generated(reply).alias("generated"))
+
+
+_DECISION_SQL = "CASE WHEN e.event_id % 3 = 0 THEN 'algorithm' WHEN e.event_id % 3 = 1 THEN 'ai-agreed' ELSE 'ai-override' END"
+
+
+@register("decision_paths", f"SELECT {_DECISION_SQL} AS decision, count(*) AS n FROM events e GROUP BY 1")
+def decision_paths(spark, sf):
+    third = F.col("event_id") % 3
+    rows = table(spark, sf, "events").select(F.col("event_id").alias("winner"), F.when(third == 1, F.col("event_id")).when(third == 2, F.col("event_id") + 1).alias("ai_winner"))
+    return rows.groupBy(telemetry.decision().alias("decision")).agg(F.count("*").alias("n"))
+
+
+@register("folder_labels", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'x/p' || CAST(page_id AS VARCHAR) || '.jpg' ELSE 'p' || CAST(page_id AS VARCHAR) || '.jpg' END AS label, 'file:' || CASE page_id % 3 WHEN 0 THEN '/data/shoot/x' WHEN 1 THEN '/data/shoot' ELSE '/data/shooting' END || '/p' || CAST(page_id AS VARCHAR) || '.jpg' AS whole FROM pages")
+def folder_labels(spark, sf):
+    path = F.concat(F.lit("file:"), _given(("/data/shoot/x", "/data/shoot", "/data/shooting"), "page_id"), F.lit("/p"), F.col("page_id").cast("string"), F.lit(".jpg"))
+    return table(spark, sf, "pages").select("page_id", files.folder_label(path, "/data/shoot").alias("label"), F.concat(F.lit("file:"), files.folder_label(path, "/data/shoot", True)).alias("whole"))
+
+
+_LINES_SQL = f"""WITH {_FP}, x AS (SELECT doc_id, source, n_chars, octet_length(encode(text)) AS size, sha256(text) AS h, min(doc_id) OVER (PARTITION BY sha256(text)) AS g, count(*) OVER (PARTITION BY sha256(text)) AS n, max(doc_id) OVER (PARTITION BY sha256(text)) AS w FROM documents WHERE text IS NOT NULL),
+    r AS (SELECT x.*, CASE WHEN n > 1 THEN g END AS grp, h1, CASE WHEN x.n_chars >= 200 THEN h2 END AS h2 FROM x LEFT JOIN fp USING (doc_id)),
+    i AS (SELECT json_object('type', 'image', 'runId', 'run', 'imageId', doc_id, 'fileName', CAST(doc_id AS VARCHAR), 'path', source || '/' || CAST(doc_id AS VARCHAR), 'extension', '', 'bytes', size, 'isRawOrDng', NULL, 'previewW', NULL, 'previewH', NULL, 'contentShort', substr(h, 1, 16), 'phash', lower(lpad(to_hex(h1), 16, '0')), 'dhash', lower(lpad(to_hex(h2), 16, '0')), 'groupIndex', grp,
+        'metrics', json_object('score', n_chars / 100, 'rawScore', NULL, 'sharpness', NULL, 'focus', NULL, 'face', NULL, 'exposure', NULL, 'expression', NULL, 'vibrancy', NULL, 'dynamicRange', NULL, 'blurConfidence', NULL), 'diagnostics', NULL) AS line FROM r),
+    p AS (SELECT a.g, list(json_object('a', a.doc_id, 'b', b.doc_id, 'phashDistance', bit_count(xor(a.h1, b.h1)), 'dhashDistance', bit_count(xor(a.h2, b.h2)), 'identicalContent', true) ORDER BY a.doc_id, b.doc_id) AS pairs FROM r a JOIN r b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.g),
+    m AS (SELECT g, list(doc_id ORDER BY doc_id) AS members, max(w) AS w, list(json_object('imageId', doc_id, 'fileName', CAST(doc_id AS VARCHAR), 'normalizedScore', n_chars / 100) ORDER BY n_chars DESC, doc_id) AS ranking FROM r WHERE n > 1 GROUP BY g),
+    k AS (SELECT json_object('type', 'group', 'runId', 'run', 'groupIndex', g, 'size', len(members), 'members', members, 'pairs', pairs, 'ranking', ranking, 'algoWinner', w, 'algoWinnerFile', CAST(w AS VARCHAR), 'aiWinner', NULL, 'aiWinnerFile', NULL, 'finalWinner', w, 'finalWinnerFile', CAST(w AS VARCHAR), 'decisionPath', 'algorithm', 'humanKeeper', NULL) AS line FROM m JOIN p USING (g)),
+    o AS (SELECT doc_id, CASE WHEN n = 1 THEN 'unique' WHEN doc_id = w THEN 'kept' ELSE 'rejected' END AS outcome FROM r),
+    q AS (SELECT json_object('type', 'placement', 'runId', 'run', 'imageId', doc_id, 'outcome', outcome, 'destination', outcome) AS line FROM o),
+    z AS (SELECT json_object('type', 'summary', 'runId', 'run', 'timestamp', '', 'scanned', (SELECT count(*) FROM r), 'duplicateGroups', (SELECT count(*) FROM m), 'keptGood', (SELECT count(*) FROM o WHERE outcome <> 'rejected'), 'rejected', (SELECT count(*) FROM o WHERE outcome = 'rejected')) AS line)
+    SELECT 'image' AS type, CAST(line AS VARCHAR) AS line FROM i UNION ALL SELECT 'group', CAST(line AS VARCHAR) FROM k UNION ALL SELECT 'placement', CAST(line AS VARCHAR) FROM q UNION ALL SELECT 'summary', CAST(line AS VARCHAR) FROM z"""
+
+
+@register("telemetry_jsonl", _LINES_SQL)
 def telemetry_jsonl(spark, sf):
-    """The JSON lines of a run over the exact groups."""
-    docs = files.documents_as_records(table(spark, sf, "documents"))
+    """The JSON lines of a run over the exact groups, but for the run's own."""
+    docs = files.documents_as_records(table(spark, sf, "documents").where("text is not null"))
     hashes = _hashes(spark, sf)
     groups = _exact(spark, sf).select(F.col("doc_id").alias("id"), "group_id")
-    records = docs.join(hashes, "id", "left").join(groups, "id", "left").withColumn("score", F.col("n_chars") / 100)
-    ranked = ranking.ranking(groups.join(records.select("id", "score"), "id"))
+    chars = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), (F.col("n_chars") / 100).alias("score"))
+    records = docs.join(hashes.drop("n_chars"), "id", "left").join(groups, "id", "left").join(chars, "id")
+    ranked = ranking.ranking(groups.join(records.select("id", "path", "score"), "id"))
     winners = groups.groupBy("group_id").agg(F.max("id").alias("winner")).withColumn("ai_winner", F.lit(None).cast("long"))
-    pairs = neardup.pair_distances(records.where("group_id is not null").select("id", "group_id", "h1", "content_hash"))
+    pairs = neardup.pair_distances(records.where("group_id is not null").select("id", "group_id", "h1", "h2", "content_hash"))
     placed = manifest.outcomes(records.select("id"), groups, winners).withColumn("destination", F.col("outcome"))
-    parts = [
-        telemetry.run_record(spark, "run", {"strength": "balanced", "threshold": EngineConfig().threshold}, 0), telemetry.image_records(records, "run"), telemetry.group_records(ranked, pairs, winners), telemetry.placement_records(placed), telemetry.summary_record(manifest.summary(placed))
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    parts = [telemetry.image_records(records, "run"), telemetry.group_records(ranked, pairs, winners, "run"), telemetry.placement_records(placed, "run"), telemetry.summary_record(manifest.summary(placed), "run")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@register("run_settings", "SELECT 'run' AS type, 12 AS hammingThreshold, 512 AS maxEdge, false AS confirmDhash, 'shoot' AS folder, 'landscape' AS sceneMode, 'low' AS perfProfile, 'loose' AS duplicateStrength, 'move' AS fileAction, true AS includeSubfolders, false AS enableAiFeatures, false AS useAiForDedup, '' AS ollamaModel, 0.2::DOUBLE AS ollamaTemperature")
+def run_settings(spark, sf):
+    from ..config import Profile, Scene, Strength
+
+    cfg = EngineConfig(scene=Scene.LANDSCAPE, profile=Profile.LOW, strength=Strength.LOOSE, action="move")
+    line = telemetry.run_record(spark, "run", cfg, 0, "/data/shoot")
+    kinds = "hammingThreshold int, maxEdge int, confirmDhash boolean, folder string, settings struct<sceneMode:string,perfProfile:string,duplicateStrength:string,fileAction:string,includeSubfolders:boolean,enableAiFeatures:boolean,useAiForDedup:boolean,ollamaModel:string,ollamaTemperature:double>"
+    return line.select("type", F.from_json("line", kinds).alias("r")).select("type", "r.hammingThreshold", "r.maxEdge", "r.confirmDhash", "r.folder", "r.settings.*")
+
+
+images.register_runs()

@@ -15,7 +15,7 @@ def test_entry_and_oracle(spark):
     con = duckdb.connect()
     for name in os.listdir(SF):
         con.execute(f"CREATE VIEW {name.split('.')[0]} AS SELECT * FROM '{SF}/{name}'")
-    for name in ("exact_dup_groups", "run_summary", "near_pairs_confirmed", "complete_linkage_12", "group_winner", "chat_trim"):
+    for name in ("exact_dup_groups", "run_summary", "near_pairs_confirmed", "complete_linkage_12", "group_winner", "chat_trim", "image_hashes", "image_scores", "image_run", "edit_plan_adjusted", "telemetry_jsonl", "dest_name_probe"):
         got = entry.queries()[name](spark, SF)
         want = con.sql(entry.oracle_sql()[name])
         order = [want.columns.index(c) for c in got.columns]

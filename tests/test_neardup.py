@@ -64,12 +64,69 @@ def test_exact_ties_join_whatever_the_hash(spark):
     assert run(spark, [0, 1, 3], 7, [(0, 2)]) == [[0, 1, 2]]
 
 
-def test_pairs_null_rules_and_strategies(spark):
-    rows = spark.createDataFrame([(1, 0, 0), (2, 1, (1 << 12) - 1), (3, 3, None), (4, None, 0), (5, 0, 0)], "id long, h1 long, h2 long")
+def plain_pairs(rows, t, confirm):
+    """All pairs of (id, h1, h2), each compared."""
+    known = sorted(r for r in rows if r[0] is not None and r[1] is not None)
+    far = lambda x, y: x is not None and y is not None and not near(x, y, t + 4)
+    return {(a[0], b[0]) for a, b in itertools.combinations(known, 2) if near(a[1], b[1], t) and not (confirm and far(a[2], b[2]))}
+
+
+def test_pairs_null_rules(spark):
+    rows = [(1, 0, 0), (2, 1, (1 << 12) - 1), (3, 3, None), (4, None, 0), (5, 0, 0)]
+    table = spark.createDataFrame(rows, "id long, h1 long, h2 long")
     for confirm, want in ((False, {(1, 2), (1, 3), (2, 3), (1, 5), (2, 5), (3, 5)}), (True, {(1, 3), (2, 3), (1, 5), (3, 5)})):
-        for strategy in ("plain", "banded"):
-            assert {(r.a, r.b) for r in neardup.near_pairs(rows, 7, confirm, strategy).collect()} == want
-    assert neardup.near_pairs(rows.limit(0), 7).collect() == []
+        assert {(r.a, r.b) for r in neardup.near_pairs(table, 7, confirm).collect()} == want == plain_pairs(rows, 7, confirm)
+    assert neardup.near_pairs(table.limit(0), 7).collect() == []
+
+
+def some_hashes(n, seed):
+    rng = random.Random(seed)
+    base = [rng.getrandbits(64) for _ in range(n // 4)]
+    values = [b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 14))) & (1 << 64) - 1 for b in base for _ in range(4)]
+    return [v - (1 << 64) if v >= 1 << 63 else v for v in values]
+
+
+@pytest.mark.parametrize("t", [0, 7, 12])
+def test_every_number_of_bands_finds_all_pairs_once(spark, t):
+    hashes = sorted(set(some_hashes(80, t)))
+    values = spark.createDataFrame([(h,) for h in hashes], "h1 long").cache()
+    want = sorted((a, b) for a, b in itertools.combinations(hashes, 2) if near(a, b, t))
+    for count in sorted({1, 3, 4, t + 1}):
+        bands = neardup.Bands.of(t, count) if 1 <= count <= t + 1 else None
+        if bands and max(bands.probes) <= 4_096:
+            assert sum(r + 1 for r in bands.radii) == t + 1
+            assert sorted(tuple(r) for r in neardup.candidates(values, t, bands).collect()) == want
+
+
+@pytest.mark.parametrize("t,power", [(3, 1.35), (7, 1.45), (12, 1.95)])
+def test_the_cost_of_pairs_grows_more_slowly_than_their_number(t, power):
+    costs = [neardup.Bands.best(t, n).cost(n) for n in (10**4, 10**6, 10**8)]
+    assert costs[0] < 10**8 / 2 and costs[1] < 10**12 / 60 and costs[1] / costs[0] < 100**power
+
+
+def test_rounds_link_as_the_walk_does(spark):
+    hashes = some_hashes(160, 5)
+    pairs = [(i, j, bin((a ^ b) & (1 << 64) - 1).count("1")) for (i, a), (j, b) in itertools.combinations(enumerate(hashes), 2) if near(a, b, 12)]
+    ties = [(0, 5), (5, 9), (20, 21)]
+    edges, exact = spark.createDataFrame(pairs, "a long, b long, dist int"), spark.createDataFrame(ties, "a long, b long")
+    for tied in (None, exact):
+        one, many = (sorted(tuple(r) for r in neardup.complete_linkage(edges, tied, most_edges=m).collect()) for m in (10**9, 0))
+        assert one == many and len(one) > 20
+    close = [(i, j, (i * 7 + j) % 5) for i, j in itertools.combinations(range(18), 2) if (i + j) % 4]
+    edges = spark.createDataFrame(close, "a long, b long, dist int")
+    one, many = (sorted(tuple(r) for r in neardup.complete_linkage(edges, most_edges=m).collect()) for m in (10**9, 0))
+    assert one == many
+
+
+def test_cluster_of_records(spark):
+    rows = [(0, "x", 5, 0), (1, "y", 5, 0), (2, "y", None, None), (3, "z", 4, 0), (4, None, None, None), (5, "z", 4, 0), (6, "w", -1, 0), (7, "w", -1, 0), (8, "v", None, None), (9, "v", None, None), (None, "x", 5, 0)]
+    table = spark.createDataFrame(rows, "id long, content_hash string, h1 long, h2 long")
+    by = {}
+    for r in neardup.cluster(table, 3, True).collect():
+        by.setdefault(r.group_id, set()).add(r.id)
+    # 1 and 2 are equal in content, and 2 has no hash, so nothing else joins them.
+    assert by == {0: {0, 3, 5}, 1: {1, 2}, 6: {6, 7}, 8: {8, 9}}
+    assert neardup.cluster(table.limit(0), 3).count() == 0
 
 
 def test_hex(spark):

@@ -1,3 +1,4 @@
+from gleaner.config import EngineConfig
 from gleaner.operators import manifest, ranking, telemetry
 
 COLUMNS = "id long, group_id long, score double, sharpness double, focus double, is_raw boolean, area long, size long, path string"
@@ -13,6 +14,8 @@ def test_winners(spark):
     assert winner(spark, (0.55, 0.5, 1.0, True, 1, 1, "a"), (0.95, 1.0, 1.0, False, 1, 1, "b")) == (1, False)
     assert winner(spark, (5.0, 1.0, 1.0, False, 1, 100, "a"), (5.0, 1.0, 1.0, False, 1, 200, "b")) == (1, False)
     assert winner(spark, (1.0, 1.0, 1.0, True, 9, 1, "a"), (1.0, 1.0, 1.0, True, 4, 5, "b")) == (0, True)
+    assert winner(spark, (1.0, 0.0, 1.0, True, 1, 1, "a"), (1.0, 0.0, 1.0, False, 1, 1, "b")) == (1, False)  # nothing is sharp
+    assert winner(spark, (1.0, 1.0, 1.0, True, 1, 1, "d/a"), (1.0, 1.0, 1.0, True, 1, 1, "d.jpg")) == (1, True)  # paths by component
 
 
 def test_scene_weights(spark):
@@ -36,6 +39,9 @@ def test_manifest_and_names(spark, tmp_path):
 
     named = manifest.destination_names(placed.withColumns({"destination": F.lit("x"), "name": F.element_at(F.split("path", "/"), -1)}), "name", "id")
     assert sorted(r.file_name for r in named.collect()) == ["a (2).jpg", "a (3).jpg", "a.jpg", "b (2).jpg", "b.jpg"]
+    mixed = spark.createDataFrame([(i, "x", n) for i, n in enumerate(["a.jpg", "a.jpg", "a (2).jpg", "a.jpg", "a (2).jpg", ".hidden", ".hidden", "b.tar.gz", "b.tar.gz", "c.", "c.", None])], "id long, destination string, name string")
+    got = {r.id: r.file_name for r in manifest.destination_names(mixed, "name", "id").collect()}
+    assert [got[i] for i in range(11)] == ["a.jpg", "a (2).jpg", "a (2) (2).jpg", "a (3).jpg", "a (2) (3).jpg", ".hidden", ".hidden (2)", "b.tar.gz", "b.tar (2).gz", "c.", "c (2)."] and got[11] is None
     manifest.write_manifest(placed, f"{tmp_path}/m")
     assert spark.read.parquet(f"{tmp_path}/m").where("outcome = 'kept'").count() == 1
 
@@ -56,9 +62,10 @@ def test_files_are_placed_under_free_names(spark, tmp_path):
 
 def test_telemetry_round_trip(spark, tmp_path):
     records = spark.createDataFrame([(1, "d/a.jpg", "ab" * 32, 255, None, 0, 10, 1.0), (2, "d/b.jpg", "cd" * 32, None, None, None, 20, 2.0)], "id long, path string, content_hash string, h1 long, h2 long, group_id long, size long, score double")
-    parts = [telemetry.run_record(spark, "r1", {"threshold": 7}, 2), telemetry.image_records(records, "r1")]
+    parts = [telemetry.run_record(spark, "r1", EngineConfig(), 2, "/d/shoot"), telemetry.image_records(records, "r1")]
     telemetry.write_lines(parts, f"{tmp_path}/t")
     lines = [r.value for r in spark.read.text(f"{tmp_path}/t").collect()]
+    assert any('"folder":"shoot"' in x and '"hammingThreshold":7' in x for x in lines) and any('"path":"d/a.jpg"' in x and '"extension":"jpg"' in x for x in lines)
     assert len(lines) == 3 and any('"phash":"00000000000000ff"' in x for x in lines) and any('"groupIndex":null' in x for x in lines)
     assert telemetry.read_lines(spark, f"{tmp_path}/t", "image", "imageId long, fileName string").orderBy("imageId").first().fileName == "a.jpg"
     members = spark.createDataFrame([(0, 1, 'a,"b".jpg'), (0, 2, "c.jpg")], "group_id long, id long, file_name string")
