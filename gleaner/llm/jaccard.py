@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from .packed import multikey_order, pack, slices, unpack
 from .rolling import U64, mix
-from .runtime import NO_ID, content_key, order_id, stored
+from .runtime import NO_ID, content_key, order_id, private, stored
 from .shingles import shingle_set
 
 DOC, TIE, SIGNATURE = 0, 1, 2
@@ -423,12 +423,12 @@ def keep_one_of_each(documents: DataFrame, width: int = 5, percent: int = 80, **
     linked = stored(link_components(documents, width, percent, **given).withColumn("doc", order_id("doc_id")), "linked")
     # Rows without an id come after all others of their class.
     first = linked.where("class is not null").groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "hash")).alias("at")).select("at.doc", "at.hash")
-    stay = first.unionAll(linked.where("class is null").select("doc", "hash").distinct()).select(F.col("doc").alias("_doc"), F.col("hash").alias("_hash"))
-    keyed = documents.withColumns({"_doc": order_id("doc_id"), "_hash": content_key("text")})
-    kept = keyed.join(stored(stay, "stay").hint("shuffle_hash"), ["_doc", "_hash"], "left_semi")
+    doc, hash_ = private(documents, 2)
+    stay = first.unionAll(linked.where("class is null").select("doc", "hash").distinct()).select(F.col("doc").alias(doc), F.col("hash").alias(hash_))
+    keyed = documents.withColumns({doc: order_id("doc_id"), hash_: content_key("text")})
+    kept = keyed.join(stored(stay, "stay").hint("shuffle_hash"), [doc, hash_], "left_semi")
     repeated = linked.where("class is not null").groupBy("doc", "hash").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     if repeated:  # equal rows with shingles are one class, so one of them stays
-        plain = kept.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")) == "")
-        rest = kept.where(F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", "")) != "")
-        kept = rest.dropDuplicates(["_doc", "_hash"]).unionByName(plain)
+        bare = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", ""))
+        kept = kept.where(bare != "").dropDuplicates([doc, hash_]).unionByName(kept.where(bare == ""))
     return kept.select(*documents.columns)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from uuid import uuid4
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import shared_folder, stored, table
 
-__all__ = ["NO_ID", "content_key", "order_id", "shared_folder", "stored", "table"]
+__all__ = ["NO_ID", "content_key", "order_id", "private", "shared_folder", "stored", "table"]
 
 #: Stands for a missing doc_id wherever documents are ordered or matched.
 NO_ID = -(1 << 63)
@@ -23,3 +25,12 @@ def content_key(column: str | Column) -> Column:
     """A hash of a text that tells rows of one doc_id apart; null counts as empty."""
     column = F.col(column) if isinstance(column, str) else column
     return F.xxhash64(F.coalesce(column, F.lit("")))
+
+
+def private(df: DataFrame, n: int) -> list[str]:
+    """n column names that df has not."""
+    taken, names = {c.lower() for c in df.columns}, []
+    while len(names) < n:
+        name = f"own_{uuid4().hex}"
+        names += [name] if name not in taken else []
+    return names
