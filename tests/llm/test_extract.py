@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from gleaner.llm import extract
@@ -37,7 +39,38 @@ def test_long_pages():
     assert extract.main_text("<article>" + f"<p>{LONG}</p>" * 3000 + "</article>").count("\n") == 2999
     assert extract.main_text("<div>" * 2000 + LONG) == LONG
     extract.main_text("<" * 20_000)
-    extract.main_text('<a b="' * 2_000)
+
+
+@pytest.mark.parametrize(
+    "part", ["<a ", '<a b="', "<a b='>' ", "<div>x", "</b>", "<b><p>x", "<!", "<!--", "<p class='side'>x", "<li>", "<div><p>x</div></i>", "<script>", '<a ">" ', "<a \"'>'", "&amp", "<td><b>"]
+)
+def test_time_grows_with_the_page(part):
+    took = []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        extract.main_text(part * n)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 8 * took[0] + 1.0
+
+
+def test_open_head_and_frames():
+    article = f"<h1>Head</h1><p>{LONG}</p><p>{LONG}</p>"
+    want = f"Head\n{LONG}\n{LONG}"
+    assert extract.main_text(f"<html><head><title>T</title><meta x=y><body><div>{article}</div>") == want
+    assert extract.main_text(f"<head><style>x</style><div>{article}</div>") == want
+    assert extract.main_text(f'<div class="content with-sidebar"><div>{article}</div><div class="sidebar"><p>{LONG[:40]}</p></div></div>') == want
+    assert extract.main_text(f'<form action="x"><div class="page has-banner">{article}<input name=a></div></form>') == want
+    assert extract.main_text(f'<div class="layout-sidebar"><article>{article}</article></div><section class="promo"><p>{LONG} {LONG} {LONG}</p></section>') == want
+    assert extract.main_text(f'<article>{article}</article><div id="comments">{article * 20}</div>') == want
+
+
+def test_ratios_do_without_class_names():
+    links = "<ul>" + "<li><a href=x>Some link</a></li>" * 30 + "</ul>"
+    pages = [
+        f"<div class='a'>{links}</div><div class='b'><h2>Head</h2>" + f"<p>{LONG}</p>" * n + f"</div><div class='c'><p>Contact us</p>{links}</div><div class='d'>© us</div>" for n in (2, 5, 30)
+    ]
+    for n, page in zip((2, 5, 30), pages, strict=True):
+        assert extract.main_text(page, hints=False) == "\n".join(["Head", *[LONG] * n])
 
 
 def test_rows(spark):
