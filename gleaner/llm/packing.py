@@ -34,8 +34,8 @@ def encoder(tokenizer: str):
 
     Byte-level BPE files are run by tiktoken from their vocabulary, which gives
     the ids of the tokenizers library at several times its speed; any other
-    file is run by tokenizers itself.  Names of special tokens that stand in a
-    text are ordinary text.
+    file is run by tokenizers itself.  Added tokens that stand in a text get
+    their own ids, as the tokenizers library gives them.
     """
     import json
 
@@ -47,16 +47,15 @@ def encoder(tokenizer: str):
         import tiktoken
 
         alphabet = _byte_alphabet()
-        special = {t["content"] for t in model.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in model.get("added_tokens", [])}
         vocabulary = model["model"]["vocab"]
         single = {bytes([alphabet[c]]): i for c, i in vocabulary.items() if c in alphabet}
         ranks = {bytes(alphabet[c] for c in word): i for word, i in vocabulary.items() if word not in special}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         if len(single) == 256:
-            run = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-            return lambda texts: [run.encode_ordinary(t) for t in texts]
+            run = tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+            return lambda texts: [run.encode(t, allowed_special="all") if any(s in t for s in special) else run.encode_ordinary(t) for t in texts]
     whole = Tokenizer.from_file(tokenizer)
-    whole.encode_special_tokens = True
     return lambda texts: [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -66,6 +65,8 @@ def _plain_byte_level(model: dict) -> bool:
     inner = model.get("model", {})
     if model.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or inner.get("type", "BPE") != "BPE":
         return False
+    if any(t.get(flag) for t in model.get("added_tokens", []) for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+        return False
     if inner.get("ignore_merges") or inner.get("dropout") or inner.get("continuing_subword_prefix") or inner.get("end_of_word_suffix"):
         return False
     vocabulary = inner["vocab"]
@@ -141,12 +142,13 @@ def _gain(receiver: Group, donor: Group, room: int) -> tuple[int, Counter, Count
     return best
 
 
-def local_search(groups: list[Group], capacity: int, steps: int = 5_000) -> list[Group]:
+def local_search(groups: list[Group], capacity: int) -> list[Group]:
     """Exchanges between underfull bins, each raising the sum of squared fills.
 
     The emptiest bins give to the fullest that an exchange can fill up.  A step
     treats as many pairs of equal bins as there are at once and adds at most
-    two groups.
+    two groups.  The sum rises with every step and is bounded, so the search
+    ends; it ends when no bin can be saved or no exchange helps.
     """
     total = sum(g.fill * g.bins for g in groups)
     least = -(-total // capacity)
@@ -163,7 +165,7 @@ def local_search(groups: list[Group], capacity: int, steps: int = 5_000) -> list
     for g in groups:
         add(g.items, g.bins)
     stuck: set[frozenset] = set()
-    while steps and sum(g.bins for g in by_items.values()) > least:
+    while sum(g.bins for g in by_items.values()) > least:
         open_ = sorted((g for g in by_items.values() if g.fill < capacity), key=lambda g: g.fill)
         donor = next((g for g in open_ if frozenset(g.items.items()) not in stuck), None)
         if donor is None:
@@ -188,7 +190,6 @@ def local_search(groups: list[Group], capacity: int, steps: int = 5_000) -> list
         for items in taken:
             add(items, pairs)
         stuck.clear()
-        steps -= 1
     return list(by_items.values())
 
 
@@ -200,8 +201,9 @@ def layout(groups: list[Group]) -> dict[int, tuple[np.ndarray, ...]]:
     """For each length, by rising rank: first rank, first sequence, documents of
     this length in each bin, and where the first of them starts.
 
-    Bounded by the groups, at most 3 a length and 2 a step of the search, and
-    by the lengths in a bin; not by the number of documents.
+    Bounded by the groups (bins of one content are one group, so there are as
+    many as there are fillings in use) and by the lengths in a bin; not by the
+    number of documents.
     """
     out: dict[int, list[tuple[int, int, int, int]]] = {}
     used: Counter = Counter()
@@ -281,7 +283,8 @@ def pack_documents(documents: DataFrame, tokenizer: str, capacity: int = 1024, e
     counts = stored(counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     places = spark.sparkContext.broadcast(layout(plan(histogram, capacity)))
-    ranked = pieces.join(counts.select("part", "length", "base"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
+    # There are up to ``capacity`` counts a task, so they are dealt and not sent to all.
+    ranked = pieces.join(counts.select("part", "length", "base").hint("shuffle_hash"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("nth"))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
         _place(places), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
     )

@@ -34,17 +34,17 @@ _CELLS = 1 << 20
 
 
 def _whole(vectors: DataFrame, scale: int) -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part, scaled; numpy floors
+    """(vec_id, v array<double>, row: a hash of v) of the vectors that take part, scaled; numpy floors
     them, since floor in SQL gives a long, which is too short for large ones."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     v = F.transform("embedding", lambda x: F.lit(float(scale)) * x.cast("double"))
-    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
+    return vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).withColumn("row", F.xxhash64("v"))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], queries: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(length, ids, matrix) of vectors of each length that queries have, a few at a time."""
+def _batches(batches: Iterator[pa.RecordBatch], queries: dict) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, ids, hashes, matrix) of vectors of each length that queries have, a few at a time."""
     for batch in batches:
-        ids, lists = batch.column("vec_id").to_numpy(), batch.column("v")
+        ids, hashes, lists = batch.column("vec_id").to_numpy(), batch.column("row").to_numpy(), batch.column("v")
         length = lists.value_lengths().to_numpy()
         values = np.floor(lists.flatten().to_numpy(zero_copy_only=False))
         start = np.cumsum(length) - length
@@ -54,7 +54,7 @@ def _batches(batches: Iterator[pa.RecordBatch], queries: dict) -> Iterator[tuple
                 rows = np.flatnonzero(length == n)
                 for low in range(0, len(rows), few):
                     mine = rows[low : low + few]
-                    yield int(n), ids[mine], values[start[mine][:, None] + np.arange(n)]
+                    yield int(n), ids[mine], hashes[mine], values[start[mine][:, None] + np.arange(n)]
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,30 +66,31 @@ def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array([min(max(x, -_LONG), _LONG - 1) for x in out], np.int64)
 
 
-def _cuts(n: int, lists: int) -> list[slice]:
+def _cuts(n: int, lists: int) -> list[tuple[int, slice]]:
+    """The lists that are not empty, by number."""
     at = [n * i // lists for i in range(lists + 1)]
-    return [slice(a, b) for a, b in zip(at, at[1:], strict=False) if b > a]
+    return [(i, slice(a, b)) for i, (a, b) in enumerate(zip(at, at[1:], strict=False)) if b > a]
 
 
 def _local_lists(sent, lists: int, k: int):
-    """Phase 1: (query_id, part, vec_id, local), k for each query and list of a task."""
+    """Phase 1: (query_id, part, vec_id, row, local), k for each query and list of a task."""
 
     def run(batches):
         queries = sent.value
-        best: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
-        for n, ids, rows in _batches(batches, queries):
+        best: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        for n, ids, hashes, rows in _batches(batches, queries):
             qid, q = queries[n]
-            for part, cut in enumerate(_cuts(n, lists)):
+            for part, cut in _cuts(n, lists):
                 local = q[:, cut] @ rows[:, cut].T
                 local[qid[:, None] == ids[None, :]] = -np.inf
-                names = np.broadcast_to(ids, local.shape)
+                found = (local, np.broadcast_to(ids, local.shape), np.broadcast_to(hashes, local.shape))
                 if (n, part) in best:
-                    local, names = np.hstack((best[n, part][0], local)), np.hstack((best[n, part][1], names))
-                keep = np.argpartition(-local, min(k, local.shape[1]) - 1, axis=1)[:, :k]
-                best[n, part] = np.take_along_axis(local, keep, 1), np.take_along_axis(names, keep, 1)
-        for (n, part), (local, names) in best.items():
+                    found = tuple(np.hstack(pair) for pair in zip(best[n, part], found, strict=True))
+                keep = np.argpartition(-found[0], min(k, found[0].shape[1]) - 1, axis=1)[:, :k]
+                best[n, part] = tuple(np.take_along_axis(x, keep, 1) for x in found)
+        for (n, part), (local, names, hashes) in best.items():
             a, b = np.nonzero(np.isfinite(local))
-            yield pa.RecordBatch.from_arrays([pa.array(queries[n][0][a]), pa.array(np.full(len(a), part, np.int32)), pa.array(names[a, b]), pa.array(local[a, b])], ["query_id", "part", "vec_id", "local"])
+            yield pa.RecordBatch.from_arrays([pa.array(queries[n][0][a]), pa.array(np.full(len(a), part, np.int32)), pa.array(names[a, b]), pa.array(hashes[a, b]), pa.array(local[a, b])], ["query_id", "part", "vec_id", "row", "local"])
 
     return run
 
@@ -105,12 +106,12 @@ def _collect(sent, bounds, floors, lists: int, k: int):
     def run(batches):
         queries = sent.value
         floor = {n: bounds.value[n] - floors.value[n].sum(1) for n in queries}  # shifted bounds of the k-th score
-        for n, ids, rows in _batches(batches, queries):
+        for n, ids, _, rows in _batches(batches, queries):
             qid, q = queries[n]
             cuts, least = _cuts(n, lists), floors.value[n]
             threshold = _below((bounds.value[n] - least.sum(1)) / len(cuts))[:, None]
             seen, upper, some = np.zeros((len(qid), len(ids))), np.zeros((len(qid), len(ids))), np.zeros((len(qid), len(ids)), bool)
-            for part, cut in enumerate(cuts):
+            for part, (_, cut) in enumerate(cuts):
                 local = q[:, cut] @ rows[:, cut].T - least[:, part : part + 1]
                 high = local >= threshold
                 seen += np.where(high, local, 0)
@@ -160,29 +161,30 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024
     shape = rows.groupBy(F.size("v").alias("n")).agg(*[F.max(_norm(i, lists)).alias(f"m{i}") for i in range(lists)])
     norms = {r["n"]: np.array([r[f"m{i}"] or 0.0 for i in range(lists)]) for r in shape.collect()}
     blocks = max(1, -(-asked.count() // block))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     out = []
     for i in range(blocks):
         mine = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).collect() if blocks > 1 else asked.collect()
         queries = _by_length(mine)
         sent = spark.sparkContext.broadcast(queries)
-        found = rows.mapInArrow(_local_lists(sent, lists, k), "query_id long, part int, vec_id long, local double")
-        place = Window.partitionBy("query_id", "part").orderBy(F.desc("local"), "vec_id")
-        found = found.groupBy("query_id", "part", "vec_id").agg(F.max("local").alias("local"))
-        found = found.withColumn("at", F.row_number().over(place)).where(F.col("at") <= k)
-        floors = {}
-        for n, (qid, q) in queries.items():
-            cuts = _cuts(n, lists)
-            floors[n] = -np.stack([np.linalg.norm(q[:, c], axis=1) * norms[n][j] for j, c in enumerate(cuts)], 1) - 1.0
-        least = spark.createDataFrame([(int(q), int(p), float(f)) for n in queries for q, fs in zip(queries[n][0], floors[n], strict=True) for p, f in enumerate(fs)], "query_id long, part int, least double")
-        sums = found.join(least, ["query_id", "part"]).groupBy("query_id", "vec_id").agg(F.sum(F.col("local") - F.col("least")).alias("seen"))
+        found = rows.mapInArrow(_local_lists(sent, lists, k), "query_id long, part int, vec_id long, row long, local double")
+        place = Window.partitionBy("query_id", "part").orderBy(F.desc("local"), "vec_id", "row")
+        found = found.distinct().withColumn("at", F.row_number().over(place)).where(F.col("at") <= k)
+        floors = {n: -np.stack([np.linalg.norm(q[:, c], axis=1) * norms[n][j] for j, c in _cuts(n, lists)], 1) - 1.0 for n, (_, q) in queries.items()}
+        least = spark.createDataFrame([(int(q), j, float(f)) for n in queries for q, fs in zip(queries[n][0], floors[n], strict=True) for (j, _), f in zip(_cuts(n, lists), fs, strict=True)], "query_id long, part int, least double")
+        # Parts of one row add up to a lower bound of its score; an id counts with its best row.
+        sums = found.join(least, ["query_id", "part"]).groupBy("query_id", "vec_id", "row").agg(F.sum(F.col("local") - F.col("least")).alias("seen"))
+        sums = sums.groupBy("query_id", "vec_id").agg(F.max("seen").alias("seen"))
         kth = sums.withColumn("at", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("seen"), "vec_id"))).where(F.col("at") == k)
         cutoff = {r["query_id"]: r["seen"] for r in kth.select("query_id", "seen").collect()}
         # Fewer than k seen: nothing may be left out, and a cutoff of 0 leaves nothing out.
         bounds = {n: np.array([cutoff.get(int(x), 0.0) for x in qid]) + floors[n].sum(1) for n, (qid, _) in queries.items()}
-        out.append(rows.mapInArrow(_collect(sent, spark.sparkContext.broadcast(bounds), spark.sparkContext.broadcast(floors), lists, k), "query_id long, vec_id long, score long"))
-    scores = stored(reduce(DataFrame.unionAll, out), "scores").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        known = spark.sparkContext.broadcast(bounds), spark.sparkContext.broadcast(floors)
+        scores = rows.mapInArrow(_collect(sent, *known, lists, k), "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        out.append(stored(scores.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "nearest"))
+        for held in (sent, *known):  # one block's are all that executors hold at once
+            held.destroy()
+    return reduce(DataFrame.unionAll, out)
 
 
 def _norm(i: int, lists: int):

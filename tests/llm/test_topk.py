@@ -1,4 +1,5 @@
 import random
+from math import floor
 
 from gleaner.llm import topk
 
@@ -42,5 +43,25 @@ def test_repeated_ids(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 1, 2048 * 1024), (2, 2, 512 * 1024)]
 
 
+def test_several_vectors_of_one_id(spark):
+    # Each of an id's rows is best in another list, but none on the whole.
+    rng = random.Random(8)
+    rows = [(0, [1.0] * 8)] + [(1, [5.0, 5.0, -9.0, -9.0, -9.0, -9.0, -9.0, -9.0]), (1, [-9.0, -9.0, -9.0, -9.0, -9.0, -9.0, 5.0, 5.0])] * 3
+    rows += [(i, [rng.gauss(0, 0.2) for _ in range(8)]) for i in range(2, 60)]
+    got = topk.nearest(spark.createDataFrame([(i, e, 1, "") for i, e in rows], SCHEMA).repartition(3), k=10).collect()
+    score = lambda e: sum(int(floor(1024 * x)) for x in spark_floats(e)) * 1024
+    best = {}
+    for i, e in rows[1:]:
+        best[i] = max(best.get(i, -(10**18)), score(e))
+    want = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:10]
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r["rank"])] == want
+
+
+def test_vectors_shorter_than_the_lists(spark):
+    rng = random.Random(2)
+    for n in (1, 2, 3, 5):
+        check(spark, [(i, [rng.gauss(0, 1) for _ in range(n)]) for i in range(150)], every=50)
+
+
 def test_empty_table(spark):
     assert topk.nearest(spark.createDataFrame([], SCHEMA)).collect() == []
