@@ -406,17 +406,31 @@ def link_components(documents: DataFrame, width: int = 4, percent: int = 85, clu
     else:
         labels = linked.select(F.col("a").alias("digest"), F.col("b").alias("class"))
 
-    named = sets.select("digest", F.col("at.doc").alias("least")).join(labels, "digest", "left").withColumn("class", F.coalesce("class", "digest"))
-    # NO_ID is the least of all ids, so look for the least true one beside it.
+    # NO_ID is the least of all ids, so the least true one is looked for beside it.
     true_id = F.when(F.col("doc") != NO_ID, F.col("doc"))
-    least = docs.where("n_shingles > 0").groupBy("digest").agg(F.min(true_id).alias("least"))
-    named = named.drop("least").join(least, "digest")
-    ids = named.join(named.groupBy("class").agg(F.min("least").alias("component_id")), "class").select("digest", "component_id", "class")
-    out = docs.where("n_shingles > 0").join(ids, "digest").select(true_id.alias("doc_id"), "hash", "n_shingles", "component_id", "class")
+    filled = docs.where("n_shingles > 0")
+    copies = filled.groupBy("digest").agg(F.min(true_id).alias("least"), F.count("*").alias("copies"))
+    named = stored(copies.join(labels, "digest", "left").withColumn("class", F.coalesce("class", "digest")), "named")
+    classes = named.groupBy("class").agg(F.min("least").alias("component_id"), F.count("*").alias("members"))
+    ids = _join_hot(named.drop("least"), classes, "class", "members").select("digest", "copies", "component_id", "class")
+    out = _join_hot(filled, stored(ids, "ids"), "digest", "copies").select(true_id.alias("doc_id"), "hash", "n_shingles", "component_id", "class")
     empty = docs.where("n_shingles = 0").select(true_id.alias("doc_id"), "hash", "n_shingles", true_id.alias("component_id"), F.lit(None).cast("long").alias("class"))
     return out.unionAll(empty)
 
 
+def _join_hot(rows: DataFrame, table: DataFrame, key: str, size: str, share: int = 1_000) -> DataFrame:
+    """rows joined with table, which has one row a key and in ``size`` how many
+    rows that key has.  Keys of over a ``share``-th of all rows, which are fewer
+    than ``share``, are sent to the rows, so no task gets a group of copies whole."""
+    total = table.agg(F.sum(size).alias("n")).first()["n"] or 0
+    is_hot = F.col(size) * share > F.lit(total)
+    hot = table.where(is_hot).drop(size)
+    if hot.isEmpty():
+        return rows.join(table.drop(size), key)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~is_hot).drop(size), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
+
+
 def keep_one_of_each(documents: DataFrame, width: int = 5, percent: int = 80, **given) -> DataFrame:
     """``documents``, all columns, with one row of each class: that of the
     smallest doc_id, rows without one last.  Rows without shingles all stay."""

@@ -64,6 +64,22 @@ QUERIES = {f.__name__: f for f in (op1_pack_sequences, op2_decontaminate, op3_qu
 
 #: DuckDB SQL where it can express the operator.
 ORACLE_SQL: dict[str, str] = {
+    # CRC-32 byte by byte, by the table of its rule.
+    "op9_shards": """
+        WITH t AS (
+            SELECT list(c ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+        ), b AS (
+            SELECT doc_id, coalesce('=' || source, '') AS source, octet_length(encode(coalesce(text, ''))) AS n,
+                list_transform(list_filter(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' '), lambda x: x <> ''), lambda x: ('0x' || x)::BIGINT) AS bytes FROM documents
+        ), c AS (
+            SELECT doc_id, source, n + 16 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(c >> 8, t.crc[(xor(c, x) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM b, t
+        ), s AS (
+            SELECT *, ('0x' || substr(md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(text_crc32 AS VARCHAR)), 1, 15))::BIGINT AS shuffle FROM c
+        ), p AS (
+            SELECT *, (row_number() OVER (PARTITION BY source ORDER BY shuffle, doc_id, text_crc32, size) - 1 + 0.5::DOUBLE) / count(*) OVER (PARTITION BY source) AS place, count(*) OVER () AS total FROM s
+        ), r AS (
+            SELECT *, row_number() OVER (ORDER BY place, source, shuffle, doc_id, text_crc32, size) - 1 AS rank FROM p
+        ) SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(rank * 40 // total AS INTEGER) AS shard, rank - (rank * 40 // total * total + 39) // 40 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM r""",
     "op6_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings

@@ -45,7 +45,10 @@ def interleave(documents: DataFrame, shards: int = 40, seed: int = 17, rows_per_
         F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("source"),
         (F.octet_length(text) + 16).cast("long").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("shuffle", F.xxhash64(F.lit(seed), "doc_id", "text_crc32"))
+    )
+    # Sixty bits of a hash that every engine has.
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("text_crc32").cast("string")))
+    rows = rows.withColumn("shuffle", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     rows = stored(rows, "rows")
     total = rows.count()
     partitions = max(1, -(-total // rows_per_range), min(total // 2_000, rows.sparkSession.sparkContext.defaultParallelism))

@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from gleaner.llm import jaccard
 from gleaner.llm.shingles import shingle_set, windows, word_hashes
 
@@ -100,3 +102,21 @@ def test_boundary_follows_the_cost():
 
 def test_empty_table(spark):
     assert jaccard.link_components(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_groups_of_copies_are_spread(spark):
+    texts = ["a b c d e f g h i j"] * 700 + ["a b c d e f g h i k"] * 2 + [f"x{i} y{i} z{i} u{i} v{i}" for i in range(60)]
+    docs = spark.createDataFrame([(i, t, 3, 4) for i, t in enumerate(texts)], "doc_id long, text string, digest int, class int").repartition(6)
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard.link_components(docs, percent=70).collect()}
+    assert got == {i: (0, 7) for i in range(702)} | {i: (i, 2) for i in range(702, 762)}
+    rows = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(900)], "k int, v int")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("v").alias("m"))
+    plain = sorted(map(tuple, rows.join(table.drop("n"), "k").collect()))
+    for share in (2, 5, 1000):
+        assert sorted(map(tuple, jaccard._join_hot(rows, table, "k", "n", share).collect())) == plain
+
+
+def test_clashing_columns_of_kept_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g", 5, 6, 7), (2, "a b c d e f g", 5, 6, 7)], "doc_id long, text string, _doc int, _hash int, hash int")
+    got = jaccard.keep_one_of_each(docs)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(1, "a b c d e f g", 5, 6, 7)]
