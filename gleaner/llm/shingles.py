@@ -36,9 +36,18 @@ def windows(words: np.ndarray, width: int) -> np.ndarray:
         return words
     width = min(width, len(words))
     n = len(words) - width + 1
-    out = words[:n] * _STEP + U64(width)
+    return _polynomial(mix(words), np.s_[:n], width, lambda i: np.s_[i : n + i])
+
+
+def windows_at(words: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """The hashes of ``windows`` at the given starts alone."""
+    return _polynomial(mix(words), start, width, lambda i: start + i)
+
+
+def _polynomial(words: np.ndarray, first, width: int, later) -> np.ndarray:
+    out = words[first] * _STEP + U64(width)
     for i in range(1, width):
-        out = mix(out) * _STEP + words[i : n + i]
+        out = out * _STEP + words[later(i)]
     return mix(out)
 
 
