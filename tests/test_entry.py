@@ -1,4 +1,8 @@
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 
@@ -24,3 +28,12 @@ def test_entry_and_oracle(spark):
 
 def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_library_stands_without_the_subpackage(tmp_path):
+    """A copy without the subpackage, its tests and the pipeline imports and keeps its own queries."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in ("llm", "corpus_pipeline.py", ".git", "__pycache__")])
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'image_run' in q and len(q) > 60 and set(e.oracle_sql()) <= set(q) and not any(k.startswith('op') or k == 'pipeline' for k in q)"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env=env, check=True, timeout=120)
