@@ -1,8 +1,8 @@
 """Licence scan: which licence each file is under.
 
-Texts that speak of a licence are compared with templates by the cosine of
-sparse TF-IDF vectors, weighted by how many such texts of the corpus hold a
-word.  The templates are whole licence texts (``license_texts``), the standard
+Texts are compared with templates by the cosine of sparse TF-IDF vectors,
+weighted by how many files of the corpus hold a word.  What cannot reach the
+similarity by the words it holds is left out before (``Weights``).  The templates are whole licence texts (``license_texts``), the standard
 headers and one-line notices; what is compared with them is every line, every
 paragraph, every block and the whole of the file, so a wrapped header and a
 licence file are each met by one of their size.  SPDX tags are read, not
@@ -14,6 +14,9 @@ All of it is DataFrame operations.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from math import log, sqrt
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,8 +70,6 @@ TEMPLATES = (
 #: Names that SPDX tags may hold in another case; others are kept as written.
 SPDX_NAMES = sorted({name for name, _ in TEMPLATES if name != "Proprietary"} | {file.stem for file in TEXTS.glob("*.txt")})
 SPDX = r"(?i)SPDX-License-Identifier:[ \t]*([( ]*[a-z0-9][a-z0-9.+:-]*(?:[ \t)]+(?:and|or|with)[ \t(]+[a-z0-9][a-z0-9.+:-]*)*)"
-#: Lines without any of these words share no telling word with a template.
-CUE = r"(?i)licen[cs]|copyright|rights\s+reserved|spdx|public\s+domain|hereby\s+granted|free\s+of\s+charge|redistribut|permission\s+to\s+use|warranty"
 FILE_NAME = r"(?i)^(licen[cs]e|copying|notice|unlicense)([._-].*)?$"
 TOKEN = r"[a-z]+|[0-9]+(?:[.][0-9]+)*"
 
@@ -77,11 +78,74 @@ def _tokens(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    """As many rows as TEMPLATES and TEXTS, so small by definition."""
+def _template_words() -> list[tuple[str, bool, Counter]]:
+    """Licence, whether it is a whole text, and words, of each template."""
     whole = [(file.stem, True, file.read_text()) for file in sorted(TEXTS.glob("*.txt"))]
-    rows = [*((name, False, text) for name, text in TEMPLATES), *whole]
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "template int, license string, full boolean, text string")
+    every = [*((name, False, text) for name, text in TEMPLATES), *whole]
+    return [(name, full, Counter(re.findall(TOKEN, text.lower()))) for name, full, text in every]
+
+
+class Weights:
+    """Weights of the templates' words, and what a unit must hold to reach one.
+
+    idf is 1 + log((n + 1) / (df + 1)) over the n files of the corpus and the
+    templates; words of no template weigh the mean of the others' idf.  All of it
+    is as large as the templates are.
+
+    The cosine of a unit and a template is at most the share, by norm, of the
+    template's weights that stand at the unit's words.  So a unit reaches
+    ``similarity`` only if it holds one of the heaviest words, those without which
+    the rest has too small a norm (``telling``), and at least as many of the
+    template's words as its heaviest need to make up that norm (``least``).
+    Templates of like ``least`` are looked for together, which asks for less.
+    """
+
+    def __init__(self, templates: list[tuple[str, bool, Counter]], files: int, held: dict[str, int], similarity: float) -> None:
+        df = Counter(held)
+        for _, _, words in templates:
+            df.update(words.keys())
+        n = files + len(templates)
+        self.idf = {w: 1 + log((n + 1) / (df[w] + 1)) for _, _, words in templates for w in words}
+        self.other = sum(self.idf.values()) / len(self.idf)
+        self.rows = []
+        # Cosines are rounded to six digits.
+        enough = max(0.0, similarity - 1e-6) ** 2
+        classes: dict[int, tuple[list[int], set[str], set[str]]] = {}
+        for number, (licence, full, words) in enumerate(templates):
+            weight = {w: (1 + log(tf)) * self.idf[w] for w, tf in words.items()}
+            norm = sum(v * v for v in weight.values())
+            self.rows += [(number, licence, full, w, v / sqrt(norm)) for w, v in weight.items()]
+            least, telling, rest, got = 0, set(), norm, 0.0
+            for w in sorted(weight, key=lambda w: (-weight[w], w)):
+                if got < enough * norm * (1 - 1e-9):
+                    least, got = least + 1, got + weight[w] ** 2
+                if rest >= enough * norm * (1 - 1e-9):
+                    telling.add(w)
+                rest -= weight[w] ** 2
+            leasts, all_words, all_telling = classes.setdefault(least.bit_length(), ([], set(), set()))
+            leasts.append(least)
+            all_words.update(weight)
+            all_telling.update(telling)
+        self.classes = [(min(leasts), sorted(words), sorted(telling)) for _, (leasts, words, telling) in sorted(classes.items())]
+
+    def may_reach(self, text: Column) -> Column:
+        """False only where no template can be reached.  What holds of a part of
+        a text holds of the text."""
+
+        def enough(words: Column) -> Column:
+            found = F.lit(False)
+            for least, of, telling in self.classes:
+                found = found | ((F.size(words) >= least) & F.exists(words, lambda x: x.isin(telling)) & (F.size(F.filter(words, lambda x: x.isin(of))) >= least))
+            return found
+
+        return F.exists(F.array(F.array_distinct(_tokens(text))), enough)
+
+
+def _weights(files: DataFrame, similarity: float) -> Weights:
+    templates = _template_words()
+    words = sorted({w for _, _, counts in templates for w in counts})
+    held = files.select(F.explode(F.array_distinct(F.filter(_tokens("text"), lambda x: x.isin(words)))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    return Weights(templates, files.count(), {r["token"]: r["df"] for r in held.collect()}, similarity)
 
 
 #: Where a comment begins or ends beside code, a blank line is put in.
@@ -89,11 +153,11 @@ _EDGES = ((r"(?m)^([ \t]*(?:#|//|/?\*|--|;|%)[^\n]*)\n(?=[ \t]*[^\s#/*;%-])", "$
 WHOLE, BLOCK, PARAGRAPH, LINE = range(4)
 
 
-def _units(text: Column):
+def _units(text: Column, weights: Weights):
     """The file, its blocks (between blank lines), their paragraphs (between
-    lines without a letter or digit) and lines, each with a cue: level, and the
-    numbers of block, paragraph and line, or -1."""
-    cued = lambda xs: F.filter(xs, lambda x: x["text"].rlike(CUE))
+    lines without a letter or digit) and lines, those that may reach a template:
+    level, and the numbers of block, paragraph and line, or -1."""
+    cued = lambda xs: F.filter(xs, lambda x: weights.may_reach(x["text"]))
     none = F.lit(-1)
     unit = lambda level, b, p, n, x: F.struct(F.lit(level).alias("level"), b.alias("b"), p.alias("p"), n.alias("l"), x.alias("text"))
     apart = text
@@ -132,8 +196,9 @@ def scan_licenses(files: DataFrame, similarity: float = 0.6) -> DataFrame:
     spark = files.sparkSession
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(FILE_NAME), F.lit(False))
     rows = files.select("file_id", F.col("path").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    told = rows.where(F.col("text").rlike(CUE)).withColumns({"named": named, "spdx": _spdx(F.col("text")), "text": F.regexp_replace("text", r"(?i)SPDX-License-Identifier:[^\n]*", "")})
-    whole, blocks, paragraphs, lines = _units(F.col("text"))
+    weights = _weights(rows, similarity)
+    told = rows.where(F.col("text").rlike(SPDX) | weights.may_reach(F.col("text"))).withColumns({"named": named, "spdx": _spdx(F.col("text")), "text": F.regexp_replace("text", r"(?i)SPDX-License-Identifier:[^\n]*", "")})
+    whole, blocks, paragraphs, lines = _units(F.col("text"), weights)
     told = told.withColumn("blocks", blocks).withColumn("paragraphs", paragraphs(F.col("blocks"))).withColumn("cues", lines(F.col("paragraphs")))
     told = told.withColumn("only", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) == F.size("cues"))
     read = F.transform("spdx", lambda x: F.struct(F.lit(LINE).alias("level"), F.lit(-1).alias("b"), F.lit(-1).alias("p"), F.lit(-1).alias("l"), F.lit("").alias("text"), x.alias("read")))
@@ -142,25 +207,15 @@ def scan_licenses(files: DataFrame, similarity: float = 0.6) -> DataFrame:
     every = stored(told.withColumn("tokens", _tokens("text")).drop("text").distinct(), "units")
     units = every.where("read is null")
 
-    # Weights of words: in how many statements of the corpus or templates they stand.
-    known = _templates(spark).withColumn("tokens", _tokens("text"))
-    statements = units.select("tokens").unionAll(known.select("tokens"))
-    total = statements.agg(F.count("*").alias("of"))
-    held = statements.select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    weights = held.crossJoin(F.broadcast(total)).select("token", (F.log((F.col("of") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
-
-    def vector(df: DataFrame, *key: str) -> DataFrame:
-        counts = df.select(*key, F.explode("tokens").alias("token")).groupBy(*key, "token").agg(F.count("*").alias("tf"))
-        return counts.join(weights, "token").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
-
     # Equal statements are compared once.
     texts = units.select("tokens").distinct().withColumn("statement", F.md5(F.concat_ws(" ", "tokens")))
-    left = vector(texts, "statement")
-    right = vector(known, "template", "license", "full")
-    norm = lambda df, key, name: df.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias(name))
-    dots = left.join(F.broadcast(right.select("template", "license", "full", "token", F.col("w").alias("v"))), "token").groupBy("statement", "template", "license", "full").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    cosine = F.round(F.col("dot") / (F.col("a") * F.col("b")), 6)
-    scored = dots.join(norm(left, "statement", "a"), "statement").join(F.broadcast(norm(right, "template", "b")), "template").withColumn("similarity", cosine)
+    idf = F.broadcast(spark.createDataFrame(sorted(weights.idf.items()), "token string, idf double"))
+    counts = texts.select("statement", F.explode("tokens").alias("token")).groupBy("statement", "token").agg(F.count("*").alias("tf"))
+    left = counts.join(idf, "token", "left").withColumn("w", (F.log("tf") + 1) * F.coalesce("idf", F.lit(weights.other)))
+    right = F.broadcast(spark.createDataFrame(weights.rows, "template int, license string, full boolean, token string, v double"))
+    norms = left.groupBy("statement").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    dots = left.join(right, "token").groupBy("statement", "template", "license", "full").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
+    scored = dots.join(norms, "statement").withColumn("similarity", F.round(F.col("dot") / F.col("norm"), 6))
     best = F.row_number().over(Window.partitionBy("statement").orderBy(F.desc("similarity"), "license"))
     matched = scored.where(F.col("similarity") >= similarity).withColumn("n", best).where("n = 1").select("statement", "license", "similarity", "full")
     stated = units.withColumn("statement", F.md5(F.concat_ws(" ", "tokens"))).join(matched, "statement", "left").drop("statement")

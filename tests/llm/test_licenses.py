@@ -1,4 +1,8 @@
+import math
+import random
+import re
 import textwrap
+from collections import Counter
 
 from gleaner.llm import licenses
 
@@ -71,3 +75,40 @@ def test_whole_texts_headers_and_tags(spark):
     assert {k[0]: (r.license, r.origin) for k, r in got.items()} == want
     assert [r.licenses for k, r in got.items() if k[1].endswith("x.go")] == ["Apache-2.0,MIT"]
     assert [r.licenses for k, r in sorted(got.items()) if k[1].endswith("x.py")] == ["GPL-2.0", "GPL-3.0"]
+
+
+def test_bound_loses_no_text_like_a_template(spark):
+    """Against cosines in plain Python, over texts of parts of templates and other words."""
+    rng = random.Random(5)
+    templates = licenses._template_words()
+    texts = ["", "no licence at all", "released under the mit"]
+    for _, _, words in templates:
+        every = list(words.elements())
+        for share in (0.2, 0.4, 0.6, 0.9, 1.0):
+            part = rng.sample(every, max(1, int(share * len(every))))
+            texts.append(" ".join(part + [f"other{chr(97 + rng.randrange(26))}" for _ in range(int(rng.random() * len(part)))]))
+            texts.append(" ".join(dict.fromkeys(sorted(part, key=lambda w: words[w])[: max(1, len(part) // 2)])))
+    found = 0
+    for held in ({}, {"the": 900, "of": 700, "license": 40, "mit": 2}):
+        weights = licenses.Weights(templates, 1000, held, 0.6)
+        norms: dict[int, dict[str, float]] = {}
+        for number, _, _, word, v in weights.rows:
+            norms.setdefault(number, {})[word] = v
+        want = set()
+        for i, text in enumerate(texts):
+            tf = Counter(re.findall(licenses.TOKEN, text))
+            w = {x: (1 + math.log(n)) * weights.idf.get(x, weights.other) for x, n in tf.items()}
+            norm = math.sqrt(sum(v * v for v in w.values())) or 1.0
+            if max(sum(v * t.get(x, 0.0) for x, v in w.items()) / norm for t in norms.values()) >= 0.6:
+                want.add(i)
+        rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+        got = {r.i for r in rows.where(weights.may_reach(rows.text)).collect()}
+        assert want <= got, [texts[i][:80] for i in want - got]
+        found += len(want)
+        assert 1 not in got
+    assert found > 300
+
+
+def test_line_without_a_usual_word_is_compared(spark):
+    got = scan(spark, [(1, "a/b.c", "int x;\n// Released under the MIT\nint y;"), (2, "c/d.c", "int z;")])
+    assert got[1, "a/b.c"].license == "MIT" and got[2, "c/d.c"].license is None
