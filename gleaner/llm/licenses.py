@@ -98,6 +98,10 @@ class Weights:
     the rest has too small a norm (``telling``), and at least as many of the
     template's words as its heaviest need to make up that norm (``least``).
     Templates of like ``least`` are looked for together, which asks for less.
+
+    Nor can it reach it if words of no template make up too much of its own norm:
+    (1 + log tf)^2 is concave, so k words that stand m times in all weigh at most
+    as if each stood m / k times (``alike``; words of like idf count together).
     """
 
     def __init__(self, templates: list[tuple[str, bool, Counter]], files: int, held: dict[str, int], similarity: float) -> None:
@@ -109,7 +113,11 @@ class Weights:
         self.other = sum(self.idf.values()) / len(self.idf)
         self.rows = []
         # Cosines are rounded to six digits.
-        enough = max(0.0, similarity - 1e-6) ** 2
+        self.enough = enough = max(0.0, similarity - 1e-6) ** 2 * (1 - 1e-9)
+        bands: dict[int, list[str]] = {}
+        for w in sorted(self.idf):
+            bands.setdefault(int(2 * self.idf[w]), []).append(w)
+        self.bands = [(max(self.idf[w] for w in words), words) for _, words in sorted(bands.items())]
         classes: dict[int, tuple[list[int], set[str], set[str]]] = {}
         for number, (licence, full, words) in enumerate(templates):
             weight = {w: (1 + log(tf)) * self.idf[w] for w, tf in words.items()}
@@ -117,9 +125,9 @@ class Weights:
             self.rows += [(number, licence, full, w, v / sqrt(norm)) for w, v in weight.items()]
             least, telling, rest, got = 0, set(), norm, 0.0
             for w in sorted(weight, key=lambda w: (-weight[w], w)):
-                if got < enough * norm * (1 - 1e-9):
+                if got < enough * norm:
                     least, got = least + 1, got + weight[w] ** 2
-                if rest >= enough * norm * (1 - 1e-9):
+                if rest >= enough * norm:
                     telling.add(w)
                 rest -= weight[w] ** 2
             leasts, all_words, all_telling = classes.setdefault(least.bit_length(), ([], set(), set()))
@@ -141,6 +149,24 @@ class Weights:
         return F.exists(F.array(F.array_distinct(_tokens(text))), enough)
 
 
+    def alike(self, text: Column) -> Column:
+        """False only where no template can be reached.  Nothing follows for the
+        parts of a text."""
+
+        def most(idf: float, words: Column) -> Column:
+            of = lambda m, k: F.when(m > 0, k * F.pow(1 + F.log(m / k), F.lit(2.0)) * idf * idf).otherwise(0.0)
+            return F.element_at(F.transform(F.array(words), lambda x: of(F.size(x), F.size(F.array_distinct(x)))), 1)
+
+        def enough(words: Column) -> Column:
+            within = F.lit(0.0)
+            for idf, of in self.bands:
+                within = within + most(idf, F.filter(words, lambda x: x.isin(of)))
+            other = F.size(F.array_distinct(F.filter(words, lambda x: ~x.isin(sorted(self.idf))))) * (self.other**2)
+            return within >= (within + other) * self.enough
+
+        return F.exists(F.array(_tokens(text)), enough)
+
+
 def _weights(files: DataFrame, similarity: float) -> Weights:
     templates = _template_words()
     words = sorted({w for _, _, counts in templates for w in counts})
@@ -199,10 +225,11 @@ def scan_licenses(files: DataFrame, similarity: float = 0.6) -> DataFrame:
     weights = _weights(rows, similarity)
     told = rows.where(F.col("text").rlike(SPDX) | weights.may_reach(F.col("text"))).withColumns({"named": named, "spdx": _spdx(F.col("text")), "text": F.regexp_replace("text", r"(?i)SPDX-License-Identifier:[^\n]*", "")})
     whole, blocks, paragraphs, lines = _units(F.col("text"), weights)
-    told = told.withColumn("blocks", blocks).withColumn("paragraphs", paragraphs(F.col("blocks"))).withColumn("cues", lines(F.col("paragraphs")))
+    alike = lambda xs: F.filter(xs, lambda x: weights.alike(x["text"]))
+    told = told.withColumn("blocks", blocks).withColumn("paragraphs", paragraphs(F.col("blocks"))).withColumn("cues", alike(lines(F.col("paragraphs"))))
     told = told.withColumn("only", F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")) == F.size("cues"))
     read = F.transform("spdx", lambda x: F.struct(F.lit(LINE).alias("level"), F.lit(-1).alias("b"), F.lit(-1).alias("p"), F.lit(-1).alias("l"), F.lit("").alias("text"), x.alias("read")))
-    compared = F.transform(F.concat(whole, "blocks", "paragraphs", "cues"), lambda x: F.struct(x["level"].alias("level"), x["b"].alias("b"), x["p"].alias("p"), x["l"].alias("l"), x["text"].alias("text"), F.lit(None).cast("string").alias("read")))
+    compared = F.transform(F.concat(alike(F.concat(whole, "blocks", "paragraphs")), "cues"), lambda x: F.struct(x["level"].alias("level"), x["b"].alias("b"), x["p"].alias("p"), x["l"].alias("l"), x["text"].alias("text"), F.lit(None).cast("string").alias("read")))
     told = told.select("file_id", "path", "named", "only", F.explode(F.concat(compared, read)).alias("u")).select("file_id", "path", "named", "only", "u.*")
     every = stored(told.withColumn("tokens", _tokens("text")).drop("text").distinct(), "units")
     units = every.where("read is null")
