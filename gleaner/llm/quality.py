@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .rolling import U64, mix
+from .runtime import content_key
 from .shingles import windows, word_hashes
 
 #: Classes of bytes: lower case, upper case, digits, sentence marks, other marks, space, line ends, bytes of other scripts.
@@ -157,7 +158,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:
             x = np.stack([measures(t.as_buffer().to_pybytes()) for t in batch.column("text")])
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1)))], ["quality", "x"])
+            kept = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.reshape(-1)))], [*kept, "x"])
 
 
 def is_held_out(doc_id: str = "doc_id", folds: int = 5):
@@ -168,13 +170,16 @@ def is_held_out(doc_id: str = "doc_id", folds: int = 5):
 def train(documents: DataFrame, labels: DataFrame, sample: int = 12_000, at_cut: float = 0.3) -> Ranking:
     """Fits on at most ``sample`` labelled texts, the first by a hash of their
     id, none of them held out.  Labels other than 0 and 1 and rows without an
-    id are left out; a doc_id with both labels counts as 0."""
+    id are left out; a doc_id with both labels counts as 0, and one with several
+    texts is fitted by one of them, the first by a hash of the text."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
     known = known.where(~is_held_out())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    # At most ``sample`` rows of two numbers, so the broadcast is bounded.
-    rows = texts.join(F.broadcast(chosen), "doc_id").select("quality", "text").mapInArrow(_measured, "quality int, x array<double>").toPandas()
+    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), content_key("text").alias("hash"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    # At most ``sample`` rows of two numbers, so the broadcast is bounded; one row
+    # an id comes back, however often its text is repeated.
+    measured = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "hash", "text").mapInArrow(_measured, "doc_id long, quality int, hash long, x array<double>")
+    rows = measured.groupBy("doc_id", "quality").agg(F.min_by("x", "hash").alias("x")).toPandas().sort_values("doc_id")
     x = np.stack(rows["x"].to_list()) if len(rows) else np.empty((0, len(NAMES)))
     return fit(x, rows["quality"].to_numpy(float), at_cut)
 

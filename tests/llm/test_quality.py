@@ -70,3 +70,35 @@ def test_measures_of_any_bytes():
     for text in (b"", b" ", b"\n\n", "é ü".encode(), b"a" * 10_000, b"a\x00b \xff", b"x\n" * 50):
         m = quality.measures(text)
         assert np.isfinite(m).all()
+
+
+def test_repeated_ids_do_not_grow_the_fit(spark):
+    rows = texts(200)
+    docs, labels = frames(spark, rows)
+    again = docs.where("doc_id < 20")
+    for _ in range(4):
+        again = again.union(again)
+    one, two = quality.train(docs, labels), quality.train(docs.union(again).repartition(5), labels)
+    assert np.array_equal(one.weights, two.weights) and one.cut == two.cut
+
+
+def test_fit_against_a_plain_search():
+    """Better texts rank above worse ones, and no other cut makes fewer errors."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(80, len(quality.NAMES)))
+    label = (x[:, 0] - x[:, 1] + rng.normal(size=80) > 0).astype(float)
+    got = quality.fit(x, label, 0.3)
+    scores = got.scores(x)
+    wins = [(a > b) + (a == b) / 2 for a in scores[label == 1] for b in scores[label == 0]]
+    assert np.mean(wins) > 0.9
+    errors = lambda cut: int(((scores >= cut) != (label == 1)).sum())
+    assert errors(0.3) == min(errors(c) for c in [*scores, 0.0, 1.1])
+
+
+def test_scores_are_those_of_each_text_alone(spark):
+    rows = texts(150)
+    docs, labels = frames(spark, rows)
+    ranking = quality.train(docs, labels)
+    want = {i: float(ranking.scores(quality.measures(t.encode())[None])[0]) for i, t, _ in rows}
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
