@@ -140,7 +140,11 @@ def pattern(values: list[str]) -> int:
 
 
 def _items(width: int):
-    """(item, text, template, pattern, width, start, window, slots, reading) of each window of each item."""
+    """(item, text, likeness, pattern, width, start, window, slots, reading) of each window of each item.
+
+    Items of one likeness and pattern match the same documents: they have the
+    same windows in every reading, those by words included, and the same slots
+    are equal, words that open a sentence counting as slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,16 +155,18 @@ def _items(width: int):
                     raw = _raw(words)
                     code, kind = _template(raw)
                     used = min(width, len(words))
-                    whole = int(windows(code, len(words))[0].view(np.int64)) if len(words) else 0
-                    equal, own = pattern(slots(words, kind, 0, len(words))), xxhash.xxh64_intdigest(" ".join(words)) >> 1
-                    rows += ((item, own, whole, equal, used, int(s), int(w.view(np.int64)), slots(words, kinds, int(s), used), reading) for reading, kinds, start, window in template_windows(raw, code, kind, used) for s, w in zip(start, window, strict=True))
+                    found = template_windows(raw, code, kind, used)
+                    like = xxhash.xxh64_intdigest(b"".join(np.concatenate(([reading, len(start)], start, window.view(np.int64))).astype(np.int64).tobytes() for reading, _, start, window in found)) >> 1
+                    names = np.where((raw & U64(2)).astype(bool), NAME, kind)
+                    equal, own = pattern(slots(words, names, 0, len(words))), xxhash.xxh64_intdigest(" ".join(words)) >> 1
+                    rows += ((item, own, like, equal, used, int(s), int(w.view(np.int64)), slots(words, kinds, int(s), used), reading) for reading, kinds, start, window in found for s, w in zip(start, window, strict=True))
             yield pa.RecordBatch.from_pylist([dict(zip(_ITEMS.names, r, strict=True)) for r in rows], schema=_ITEMS)
 
     return run
 
 
-_ITEMS = pa.schema([("item", pa.int64()), ("text", pa.int64()), ("template", pa.int64()), ("pattern", pa.int64()), ("width", pa.int32()), ("start", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.string())), ("reading", pa.int32())])
-_ITEMS_SQL = "item long, text long, template long, pattern long, width int, start long, window long, slots array<string>, reading int"
+_ITEMS = pa.schema([("item", pa.int64()), ("text", pa.int64()), ("likeness", pa.int64()), ("pattern", pa.int64()), ("width", pa.int32()), ("start", pa.int64()), ("window", pa.int64()), ("slots", pa.list_(pa.string())), ("reading", pa.int32())])
+_ITEMS_SQL = "item long, text long, likeness long, pattern long, width int, start long, window long, slots array<string>, reading int"
 _HITS = pa.schema([("doc", pa.int64()), ("hash", pa.int64()), ("at", pa.int64()), ("window", pa.int64()), ("found", pa.list_(pa.string())), ("read", pa.int32())])
 _HITS_SQL = "doc long, hash long, at long, window long, found array<string>, read int"
 
@@ -213,13 +219,17 @@ def _hits(widths: list[int], sent):
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, max_windows: int = 2_000_000) -> DataFrame:
-    """(doc_id, item_id, windows, covered, hash): one row for each contaminated
-    document and item, with the item's windows and how many were found.
+    """(doc_id, item_id, windows, covered, hash, item_ids): one row for each
+    contaminated document and class of items, with the item's windows and how
+    many were found.
 
     Capitalised words are names inside a sentence; at its start they are tried
-    as names and as words.  Items of one template in which the same slots are equal are one item, the
-    smallest item_id; different texts of one item_id are looked for each, and
-    the one found most of is reported.  Items shorter
+    as names and as words.  Items that match the same documents, since they
+    have the same windows and the same slots are equal, are one class: it is
+    looked for once and named by its smallest item_id, and ``item_ids`` holds
+    all of its ids, sorted.  Different texts of one item_id are looked for each;
+    windows and covered are of the one found most of, and ``item_ids`` are those
+    of all that were found.  Items shorter
     than ``width`` words have one window, the whole item; windows of which
     less than half the words are literal must hold the same words.  Empty and
     null items and items without an id match nothing.  Null and empty texts contain nothing.  Rows
@@ -233,13 +243,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, width: int = 8, share
     texts = documents.select(order_id("doc_id").alias("doc"), content_key("text").alias("hash"), F.coalesce("text", F.lit("")).alias("text"))
     asked = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item"), F.coalesce("text", F.lit("")).alias("text"))
     items = stored(asked.mapInArrow(_items(width), _ITEMS_SQL), "items")
-    first = items.groupBy("template", "pattern").agg(F.min(F.struct("item", "text")).alias("f")).select("template", "pattern", "f.*")
-    items = items.join(first, ["template", "pattern", "item", "text"]).dropDuplicates(["item", "text", "start", "window", "reading"])
+    classes = items.groupBy("likeness", "pattern").agg(F.min(F.struct("item", "text")).alias("f"), F.array_sort(F.collect_set("item")).alias("item_ids"))
+    classes = stored(classes.select("likeness", "pattern", "f.*", "item_ids"), "classes")
+    items = items.join(classes.drop("item_ids"), ["likeness", "pattern", "item", "text"]).dropDuplicates(["item", "text", "start", "window", "reading"])
     items = stored(items.select("item", "text", "width", "start", "window", "slots", "reading"), "first_items")
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # at most ``width`` of them
     n = items.count()
     if not n:
-        return spark.createDataFrame([], "doc_id long, item_id long, windows long, covered long, hash long")
+        return spark.createDataFrame([], "doc_id long, item_id long, windows long, covered long, hash long, item_ids array<long>")
     few = np.unique(items.select("window").toPandas()["window"].to_numpy(np.int64).view(U64)) if n <= max_windows else None
     sent = spark.sparkContext.broadcast((few, None if few is not None else _sieve(items)))
     hits = stored(texts.mapInArrow(_hits(sorted(widths), sent), _HITS_SQL), "hits")
@@ -260,11 +271,13 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, width: int = 8, share
     good = chains.where((F.col("n_ab") == F.col("n_a")) & (F.col("names") == F.col("named")))
     covered = good.select("doc", "hash", "item", "text", F.explode("starts").alias("start")).groupBy("doc", "hash", "item", "text").agg(F.countDistinct("start").alias("covered"))
     sizes = items.groupBy("item", "text").agg(F.count_distinct("start").alias("windows"))
-    found = covered.join(sizes, ["item", "text"]).where(F.col("covered") >= share * F.col("windows"))
-    # Of several texts of an item, the one found most of.
+    found = covered.join(sizes, ["item", "text"]).where(F.col("covered") / F.col("windows") >= share)
+    # Of several texts of an item, the one found most of; the classes of all.
     likest = F.max_by(F.struct("windows", "covered"), F.struct(F.col("covered") / F.col("windows"), F.col("covered")))
-    found = found.groupBy("doc", "hash", "item").agg(likest.alias("n")).select("doc", "hash", "item", "n.*")
-    return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), F.col("item").alias("item_id"), "windows", "covered", "hash")
+    found = found.join(classes.select("item", "text", "item_ids"), ["item", "text"])
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids"))))
+    found = found.groupBy("doc", "hash", "item").agg(likest.alias("n"), ids.alias("item_ids")).select("doc", "hash", "item", "n.*", "item_ids")
+    return found.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), F.col("item").alias("item_id"), "windows", "covered", "hash", "item_ids")
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, **given) -> DataFrame:

@@ -57,6 +57,28 @@ def test_items_with_other_equal_slots_are_looked_for_each(spark):
     assert found(spark, docs, [(1, ask(9, 9)), (1, ask(12, 5)), (1, other)]) == [(1, 1), (2, 1), (3, 1), (4, 1)]
 
 
+def test_items_are_found_in_company_as_they_are_alone(spark):
+    """A class of items stands for those only that match the same documents, and names them all."""
+    numbers, more = "3 1 4 15 9 26 5 35 8 97 93", "2 7 18 28 45 90 4 52 35 36 28.5"
+    opened, other = "Anna keeps 12 brown cows in the barn and then Anna sells them all", "Anna keeps 12 brown cows in the barn and then Bob sells them all"
+    ask = "a farmer has {} cows and buys {} more cows at the next market in spring, so how many cows are there then".format
+    items = [(1, numbers), (2, more), (3, opened), (4, other), (5, ask(12, 5)), (6, ask(9, 4)), (7, ask(9, 4)), (7, more), (8, ask(3, 3))]
+    docs = [(10, f"so {numbers} it is"), (11, f"so {more} it is"), (12, f"here {other.replace('Anna', 'Carl').replace('Bob', 'Dora')} today"), (13, f"here {opened.replace('Anna', 'Carl')} today"), (14, f"now {ask(77, 6)} he asks"), (15, f"{more} and {ask(1, 2)}"), (16, f"{ask(8, 8)}")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    table = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    together = decontaminate.find_leaks(docs, table(items)).collect()
+    assert all(r.item_ids == sorted(set(r.item_ids)) and r.item_ids[0] == r.item_id for r in together)
+    alone = {(r.doc_id, i) for i in {i for i, _ in items} for r in decontaminate.find_leaks(docs, table([x for x in items if x[0] == i])).collect()}
+    assert {(r.doc_id, i) for r in together for i in r.item_ids} == alone
+    assert {(10, 1), (11, 2), (11, 7), (12, 4), (13, 3), (14, 5), (14, 6), (14, 7), (15, 2), (16, 8)} <= alone
+
+
+def test_a_share_that_is_met_exactly(spark):
+    item = " ".join(f"w{chr(97 + i)}" if i < 26 else f"x{i}" for i in range(32))  # 25 windows, of which the first 14 words hold 7
+    docs = spark.createDataFrame([(1, " ".join(item.split()[:14]))], "doc_id long, text string")
+    assert [r.covered for r in decontaminate.find_leaks(docs, spark.createDataFrame([(1, item)], "item_id long, text string"), share=0.28).collect()] == [7]
+
+
 def test_copies_of_items_that_are_mostly_placeholders(spark):
     numbers, titles = "1 1 2 3 5 8 13 21 34 55 89", "see The Old Man And The Sea By Ernest Hemingway Today"
     docs = [(1, f"some words before it {numbers} and some after"), (2, "1 1 2 3 5 8 13 21 34 56 90 144"), (3, f"we {titles} again"), (4, "2 3 4 5 6 7 8 9 10 11 12")]
