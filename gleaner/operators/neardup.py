@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 from math import comb
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ from ..tables import stored
 from .graph import components
 
 
+#: Rows and comparisons from which a join of bands is dearer than arrays.
+DEAR_JOIN = 100_000_000
+
+
 def exact_groups(records: DataFrame, record_id: str, content: str) -> DataFrame:
     """(record_id, group_id, group_size) of the rows whose content others have too.
 
@@ -91,6 +97,102 @@ def candidates(values: DataFrame, threshold: int, bands: Bands) -> DataFrame:
     return reduce(DataFrame.unionAll, looked).alias("x").join(held.alias("y"), on).select(x.alias("ha"), y.alias("hb"))
 
 
+@dataclass(frozen=True)
+class _Cells:
+    """Hashes sorted by one band, and where each value of the band begins."""
+
+    hashes: np.ndarray
+    ids: np.ndarray
+    starts: np.ndarray
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, ids: np.ndarray, lo: int, hi: int) -> _Cells:
+        value = (hashes >> np.uint64(lo) & np.uint64((1 << hi - lo) - 1)).astype(np.int64)
+        order = np.argsort(value, kind="stable")
+        return cls(hashes[order], ids[order], np.searchsorted(value[order], np.arange((1 << hi - lo) + 1)))
+
+
+#: Nanoseconds of a comparison, of a cell and of a hash picked for a cell, as
+#: measured; pairs compared at once; hashes in a block; widest band with cells.
+_COMPARE, _CELL, _PICK, _AT_ONCE, _BLOCK, _WIDEST = 2, 40_000, 10, 1 << 17, 1 << 17, 16
+
+
+def _block_cost(bands: Bands, nx: int, ny: int) -> float:
+    widths = [hi - lo for lo, hi in zip(bands.edges, bands.edges[1:], strict=False)]
+    cells = [min(2**w, nx) for w in widths]
+    return sum(c * _CELL + ny * p / 2**w * (nx * _COMPARE + c * _PICK) for c, p, w in zip(cells, bands.probes, widths, strict=True))
+
+
+def _block_bands(threshold: int, nx: int, ny: int) -> Bands:
+    """The cheapest way to compare two blocks; with no band narrow enough, one without a bit."""
+    ways = [Bands.of(threshold, m) for m in range(1, threshold + 2)]
+    ways = [w for w in ways if max(hi - lo for lo, hi in zip(w.edges, w.edges[1:], strict=False)) <= _WIDEST and max(w.probes) <= 4_096]
+    return min([*ways, Bands((0, 0), (0,))], key=lambda w: _block_cost(w, nx, ny))
+
+
+def block_pairs(hx: np.ndarray, ix: np.ndarray, hy: np.ndarray, iy: np.ndarray, threshold: int, bands: Bands) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id of x, id of y, distance) of all hashes of two blocks within
+    ``threshold``, each pair once: from the first band that finds it."""
+    spans = list(zip(bands.edges, bands.edges[1:], bands.radii, strict=False))
+    for band, (lo, hi, radius) in enumerate(spans):
+        x, y = _Cells.of(hx, ix, lo, hi), _Cells.of(hy, iy, lo, hi)
+        masks = np.array(sorted(sum(1 << b for b in bits) for k in range(radius + 1) for bits in combinations(range(hi - lo), k)), np.int64)
+        for value in np.flatnonzero(np.diff(x.starts)):
+            near = value ^ masks
+            start, count = y.starts[near], y.starts[near + 1] - y.starts[near]
+            total = int(count.sum())
+            if not total:
+                continue
+            place = np.repeat(start - np.cumsum(count) + count, count) + np.arange(total)
+            other = y.hashes[place]
+            first, last = x.starts[value], x.starts[value + 1]
+            tall = max(1, min(last - first, 64))
+            wide = _AT_ONCE // tall
+            for i in range(first, last, tall):
+                some = x.hashes[i : min(i + tall, last), None]
+                for j in range(0, total, wide):
+                    part = other[j : j + wide]
+                    dist = np.bitwise_count(some ^ part)
+                    at = np.flatnonzero(dist.reshape(-1) <= threshold)
+                    if len(at):
+                        r, c = at // len(part), at % len(part)
+                        apart = some[r, 0] ^ part[c]
+                        new = np.ones(len(at), bool)
+                        for lo_, hi_, radius_ in spans[:band]:
+                            new &= np.bitwise_count(apart >> np.uint64(lo_) & np.uint64((1 << hi_ - lo_) - 1)) > radius_
+                        yield x.ids[i + r[new]], y.ids[place[j + c[new]]], dist.reshape(-1)[at[new]]
+
+
+def _compare(threshold: int):
+    def run(part: pa.Table) -> pa.Table:
+        left = part.column("left").to_numpy()
+        hashes, ids = part.column("h1").to_numpy().view(np.uint64), part.column("id").to_numpy()
+        x = hashes[left], ids[left]
+        alone = bool(left.all())  # a block with itself
+        y = x if alone else (hashes[~left], ids[~left])
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8))]
+        for a, b, dist in block_pairs(*x, *y, threshold, _block_bands(threshold, len(x[0]), len(y[0]))):
+            out.append((a[a < b], b[a < b], dist[a < b]) if alone else (np.minimum(a, b), np.maximum(a, b), dist))
+        a, b, dist = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b, "dist": dist.astype(np.int32)})
+
+    return run
+
+
+def compared(values: DataFrame, threshold: int, n: int) -> DataFrame:
+    """(a, b, dist) with a < b of all of the n rows (id, h1), ids distinct, that are within ``threshold``.
+
+    Blocks of up to 131,072 rows are compared, each two in one task, cell by
+    cell of a few bands (``block_pairs``): the comparisons run over plain arrays
+    and cost a small part of a join's."""
+    blocks = max(12, -(-n // _BLOCK))
+    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = values.select("id", "h1", own.alias("own")).select("id", "h1", "own", other.alias("other"))
+    dealt = dealt.select((F.least("own", "other") * F.lit(blocks).cast("long") + F.greatest("own", "other")).alias("task"), (F.col("own") <= F.col("other")).alias("left"), "id", "h1")
+    return dealt.repartition(blocks * (blocks + 1) // 2, "task").groupBy("task").applyInArrow(_compare(threshold), "a long, b long, dist int")
+
+
 def near_pairs(hashes: DataFrame, threshold: int, confirm: bool = False) -> DataFrame:
     """(a, b, dist) with a < b of all rows of (id, h1, h2) that are near.
 
@@ -98,10 +200,20 @@ def near_pairs(hashes: DataFrame, threshold: int, confirm: bool = False) -> Data
     an equi-join of bands with bands changed in up to so many bits finds all
     pairs; how many bands is chosen by cost from the number of distinct hashes
     (``Bands``).  Rows of one hash are one value in that join, and pairs are
-    spelt out at the end, as many as the result has."""
+    spelt out at the end, as many as the result has.  Where that join is dear,
+    blocks of hashes are compared as arrays (``compared``)."""
     rows = hashes.where("id is not null and h1 is not null")
-    values = stored(rows.select("h1").distinct(), "values")
-    near = candidates(values, threshold, Bands.best(threshold, values.count()))
+    values = stored(rows.groupBy("h1").agg(F.min("id").alias("id"), F.count("*").alias("n")), "values")
+    n, most = values.agg(F.count("*"), F.max("n")).first()
+    bands = Bands.best(threshold, n)
+    dear = bands.cost(n) > DEAR_JOIN
+    if dear and most == 1 and not confirm:
+        return compared(values, threshold, n)
+    if dear:
+        of = lambda end: values.select(F.col("id").alias(end), F.col("h1").alias(f"h{end}"))
+        near = compared(values, threshold, n).join(of("a"), "a").join(of("b"), "b").select("ha", "hb")
+    else:
+        near = candidates(values, threshold, bands)
     near = near.unionAll(values.select(F.col("h1").alias("ha"), F.col("h1").alias("hb")))
     left, right = rows.alias("l"), rows.alias("r")
     pairs = near.join(left, F.col("ha") == F.col("l.h1")).join(right, F.col("hb") == F.col("r.h1")).where((F.col("ha") != F.col("hb")) | (F.col("l.id") < F.col("r.id")))
@@ -110,84 +222,139 @@ def near_pairs(hashes: DataFrame, threshold: int, confirm: bool = False) -> Data
     return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("int").alias("dist"))
 
 
-def greedy_linkage(edges: list[tuple[int, int, int]], exact: list[tuple[int, int]] = ()) -> dict[int, int]:
-    """node -> smallest node of its group.  Exact ties join at once; then edges
-    by (distance, a, b) join two groups if every cross pair is an edge."""
-    near = {(a, b) for a, b, _ in edges} | {(b, a) for a, b, _ in edges}
-    group: dict[int, set[int]] = {}
-    for a, b in exact:
-        both = group.get(a, {a}) | group.get(b, {b})
-        group.update(dict.fromkeys(both, both))
-    for a, b, _ in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
-        one, two = group.get(a, {a}), group.get(b, {b})
-        if one is not two and a not in two and all((x, y) in near for x in one for y in two):
-            both = one | two
-            group.update(dict.fromkeys(both, both))
-    return {node: min(members) for node, members in group.items()}
-
-
-def _link(part: pd.DataFrame) -> pd.DataFrame:
-    tied = part["dist"].isna()
-    near = list(part.loc[~tied, ["a", "b", "dist"]].astype(int).drop_duplicates().itertuples(index=False, name=None))
-    found = greedy_linkage(near, list(part.loc[tied, ["a", "b"]].itertuples(index=False, name=None)))
-    return pd.DataFrame({"id": list(found), "group_id": list(found.values())}, dtype="int64")
-
-
-def _link_by_rounds(edges: DataFrame, exact: DataFrame) -> DataFrame:
-    """(id, group_id) as ``greedy_linkage`` has it, by joins.
-
-    A link of two groups is open while every pair across them is an edge, and
-    its rank is the first of these edges.  The greedy walk takes a link before
-    all others of both its groups if it ranks before them, so all links that do
-    are merged at once; links that are no longer open can never open again.
-    Each round is written to the shared folder; there are as many as the
-    longest run of merges that wait for each other."""
-    tied = components(exact)
-    nodes = edges.select(F.col("a").alias("id")).unionAll(edges.select(F.col("b").alias("id"))).unionAll(tied.select(F.col("node").alias("id"))).distinct()
-    member = stored(nodes.join(tied.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("g")), "members")
-    links = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), F.lit(1).cast("long").alias("pairs"), F.struct("dist", "a", "b").alias("rank"))
-    changed = member.select(F.col("id").alias("old"), F.col("g").alias("new"))
-    while True:
-        size = member.groupBy("g").agg(F.count("*").alias("n"))
-        moved = links.join(changed.withColumnsRenamed({"old": "x", "new": "nx"}), "x", "left").join(changed.withColumnsRenamed({"old": "y", "new": "ny"}), "y", "left")
-        moved = moved.select(F.coalesce("nx", "x").alias("p"), F.coalesce("ny", "y").alias("q"), "pairs", "rank").where("p <> q")
-        summed = moved.groupBy(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y")).agg(F.sum("pairs").alias("pairs"), F.min("rank").alias("rank"))
-        of = lambda end: size.select(F.col("g").alias(end), F.col("n").alias(f"n{end}"))
-        links = stored(summed.join(of("x"), "x").join(of("y"), "y").where("pairs = nx * ny").select("x", "y", "pairs", "rank"), "links")
-        ends = links.select(F.col("x").alias("g"), "rank").unionAll(links.select(F.col("y").alias("g"), "rank"))
-        best = ends.groupBy("g").agg(F.min("rank").alias("best"))
-        first = lambda end: best.select(F.col("g").alias(end), F.col("best").alias(f"best_{end}"))
-        merged = stored(links.join(first("x"), "x").join(first("y"), "y").where("rank = best_x and rank = best_y").select(F.col("y").alias("old"), F.col("x").alias("new")), "merged")
-        if merged.isEmpty():
-            break
-        changed = merged
-        member = stored(member.join(merged.withColumnRenamed("old", "g"), "g", "left").select("id", F.coalesce("new", "g").alias("g")), "members")
-    linked = member.withColumnRenamed("g", "group_id")
-    several = linked.groupBy("group_id").agg(F.count("*").alias("n"), F.min("id").alias("least")).where("n > 1")
-    return linked.join(several, "group_id").select("id", F.col("least").alias("group_id"))
-
-
-def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edges: int = 200_000) -> DataFrame:
+def _walk(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, group) of links x-y in the order of their ranks.  A link joins its
+    groups if they have an open link, and another group keeps one with both
+    together if it had one with each; so each link is dropped once."""
+    nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    same = list(range(len(nodes)))  # one object per node
+    links = [(same[i], same[j]) for i, j in zip(at[: len(x)], at[len(x) :], strict=True)]
+    near: list[set[int]] = [set() for _ in same]
+    for i, j in links:
+        near[i].add(j)
+        near[j].add(i)
+    group, members = list(same), [[i] for i in same]
+    for i, j in links:
+        p, q = group[i], group[j]
+        if q in near[p]:
+            if len(members[p]) < len(members[q]):
+                p, q = q, p
+            both = near[p] & near[q]
+            for z in near[p] - both:
+                near[z].discard(p)
+            for z in near[q]:
+                near[z].discard(q)
+            near[p], near[q] = both, set()
+            for k in members[q]:
+                group[k] = p
+            members[p] += members[q]
+    return nodes, nodes[group]
+
+
+def _link(part: pa.Table) -> pa.Table:
+    column = lambda name: part.column(name).to_numpy()
+    order = np.lexsort((column("k2"), column("k1"), column("k0")))
+    nodes, group = _walk(column("x")[order], column("y")[order])
+    return pa.table({"old": nodes, "new": group}).filter(pa.array(nodes != group))
+
+
+def _merged(links: DataFrame) -> DataFrame:
+    """(old, new) of all links that come before every other of both their groups.
+
+    The greedy walk takes such a link before all others of its groups, so all
+    of them are merged at once."""
+    ends = links.select(F.col("x").alias("g"), "rank").unionAll(links.select(F.col("y").alias("g"), "rank"))
+    best = ends.groupBy("g").agg(F.min("rank").alias("rank"))
+    return best.groupBy("rank").agg(F.max("g").alias("old"), F.min("g").alias("new")).where("old <> new").select("old", "new")
+
+
+def _contracted(links: DataFrame, changed: DataFrame) -> DataFrame:
+    """Open links of the groups after ``changed`` (old, new): those of which
+    every part has a link with every part of the other."""
+    sizes = changed.groupBy("new").agg((F.count("*") + 1).alias("parts"))
+    parts = stored(changed.join(sizes, "new").select("old", "new", "parts").unionAll(sizes.select(F.col("new").alias("old"), "new", "parts")), "parts")
+    parts = F.broadcast(parts) if parts.count() <= 500_000 else parts
+    end = lambda e: parts.select(F.col("old").alias(e), F.col("new").alias(f"new_{e}"), F.col("parts").alias(f"parts_{e}"))
+    moved = links.join(end("x"), "x", "left").join(end("y"), "y", "left")
+    p, q, wanted = F.coalesce("new_x", "x"), F.coalesce("new_y", "y"), F.coalesce("parts_x", F.lit(1)) * F.coalesce("parts_y", F.lit(1))
+    moved = moved.select(F.least(p, q).alias("x"), F.greatest(p, q).alias("y"), wanted.alias("wanted"), "rank").where("x <> y")
+    summed = moved.groupBy("x", "y").agg(F.count("*").alias("n"), F.max("wanted").alias("wanted"), F.min("rank").alias("rank"))
+    return stored(summed.where("n = wanted").select("x", "y", "rank"), "links")
+
+
+def _placed(member: DataFrame | None, changed: DataFrame) -> DataFrame:
+    """(id, g) of all ids that are in a group of two or more, after ``changed``."""
+    own = changed.select(F.col("old").alias("id")).unionAll(changed.select(F.col("new").alias("id"))).distinct()
+    own = own if member is None else own.join(member, "id", "left_anti")
+    rows = own.select("id", F.col("id").alias("g"))
+    rows = rows if member is None else member.unionAll(rows)
+    return stored(rows.join(changed.withColumnRenamed("old", "g"), "g", "left").select("id", F.coalesce("new", "g").alias("g")), "members")
+
+
+def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edges: int = 1_000_000) -> DataFrame:
     """(id, group_id) of groups of two or more in which every pair is near.
 
     edges: all near pairs (a, b, dist).  exact: pairs (a, b) that are one group
-    whatever their distance, such as a chain over equal contents.  Merges only
-    follow edges, so connected components are independent: those of up to
-    ``most_edges`` edges are walked through in one task each, and larger ones
-    are linked by rounds of joins, to the same result.
+    whatever their distance, such as a chain over equal contents.  Edges by
+    (dist, a, b) join two groups if every pair across them is an edge.
+
+    A link of two groups is open while every pair across them is an edge, its
+    rank is the first of these edges, and a link that is no longer open can
+    never open again; so after any merges the groups and their open links are a
+    smaller case of the same.  Merges only follow links, so connected components
+    are independent: those of up to ``most_edges`` links are walked through in
+    one task each.  More links than that are merged by rounds of joins
+    (``_merged``) first, as long as each round takes a fifth of them; links of
+    larger components are until half of them are gone, and then looked at again.
+    Tables of each round are written to the shared folder.
     """
-    ties = edges.select("a", "b", "dist")
-    if exact is not None:
-        ties = ties.unionAll(exact.select("a", "b", F.lit(None).cast("int").alias("dist")))
-    placed = components(ties.select("a", "b"))
-    work = ties.join(placed.withColumnRenamed("node", "a"), "a")
-    large = stored(work.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > most_edges).select("component"), "large_components")
-    linked = lambda part: part.groupBy("component").applyInPandas(_link, "id long, group_id long")
-    if large.isEmpty():
-        return linked(work)
-    rest = stored(work.join(large, "component"), "large_edges")
-    by_rounds = _link_by_rounds(rest.where("dist is not null").select("a", "b", "dist").distinct(), rest.where("dist is null").select("a", "b"))
-    return linked(work.join(large, "component", "left_anti")).unionAll(by_rounds)
+    edges = edges.select("a", "b", "dist")
+    low, high = edges.agg(F.min(F.least("a", "b")), F.max(F.greatest("a", "b"))).first()
+    if low is not None and high - low < 1 << 28:  # a rank in one number is sorted much faster
+        rank = F.shiftleft(F.col("dist").cast("long"), 56) + F.shiftleft(F.col("a") - F.lit(low), 28) + (F.col("b") - F.lit(low))
+        keys = [F.col("rank"), F.lit(0), F.lit(0)]
+    else:
+        rank = F.struct("dist", "a", "b")
+        keys = [F.col("rank.dist"), F.col("rank.a"), F.col("rank.b")]
+    keys = [k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
+    links = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), rank.alias("rank"))
+    member = None
+
+    def after(changed: DataFrame) -> None:
+        nonlocal links, member
+        changed = stored(changed, "merged")
+        if not changed.isEmpty():
+            links, member = _contracted(links, changed), _placed(member, changed)
+
+    if exact is not None and not exact.isEmpty():
+        after(components(exact).select(F.col("node").alias("old"), F.col("component").alias("new")).where("old <> new"))
+    n, before = links.count(), None
+    while n:
+        if n > most_edges and (before is None or 5 * n <= 4 * before):
+            before = n
+            after(_merged(links))
+            n = links.count()
+            continue
+        placed = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        work = links.join(placed.select(F.col("node").alias("x"), "component"), "x")
+        large = stored(work.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > most_edges).select("component"), "large_components")
+        none = large.isEmpty()
+        small = work if none else work.join(large, "component", "left_anti")
+        walked = stored(small.select("component", "x", "y", *keys).groupBy("component").applyInArrow(_link, "old long, new long"), "walked")
+        if not walked.isEmpty():
+            member = _placed(member, walked)
+        if none:
+            break
+        links = stored(work.join(large, "component").select("x", "y", "rank"), "large_links")
+        n = most = links.count()
+        while 2 * n > most:
+            after(_merged(links))
+            n = links.count()
+        before = None
+    if member is None:
+        return edges.sparkSession.createDataFrame([], "id long, group_id long")
+    names = member.groupBy("g").agg(F.min("id").alias("group_id"))
+    return member.join(names, "g").select("id", "group_id")
 
 
 def cluster(records: DataFrame, threshold: int, confirm: bool = False) -> DataFrame:

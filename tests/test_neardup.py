@@ -104,6 +104,54 @@ def test_the_cost_of_pairs_grows_more_slowly_than_their_number(t, power):
     assert costs[0] < 10**8 / 2 and costs[1] < 10**12 / 60 and costs[1] / costs[0] < 100**power
 
 
+@pytest.mark.parametrize("t,confirm", [(3, False), (12, False), (12, True), (17, False)])
+def test_a_dear_join_compares_arrays_to_the_same_pairs(spark, monkeypatch, t, confirm):
+    """At 12 and 17 bits a join of bands over the hashes of 1 GB is dear."""
+    assert all(neardup.Bands.best(b, 400_000).cost(400_000) > neardup.DEAR_JOIN for b in (12, 17))
+    monkeypatch.setattr(neardup, "DEAR_JOIN", 0)
+    monkeypatch.setattr(neardup, "candidates", None)
+    rng = random.Random(t)
+    hashes = some_hashes(160, t)
+    shared = [*hashes, *hashes[:9], None] if confirm else [*hashes, None]
+    rows = [(3 * i - 40, h, rng.choice([0, 7, -1, None])) for i, h in enumerate(shared)] + [(None, 5, 5)]
+    got = neardup.near_pairs(spark.createDataFrame(rows, "id long, h1 long, h2 long"), t, confirm).collect()
+    known = dict((r[0], r[1]) for r in rows)
+    assert all(r.dist == bin((known[r.a] ^ known[r.b]) & (1 << 64) - 1).count("1") for r in got)
+    assert len(got) == len({(r.a, r.b) for r in got}) and {(r.a, r.b) for r in got} == plain_pairs(rows, t, confirm)
+
+
+@pytest.mark.parametrize("t", [0, 3, 7, 12, 17, 30])
+def test_blocks_are_compared_by_any_bands(t):
+    import numpy as np
+
+    hashes = np.array(some_hashes(240, t + 50), np.int64).view(np.uint64)
+    x, y, ids = hashes[:100], hashes[100:], np.arange(240)
+    want = sorted((i, 100 + j) for i, a in enumerate(x.tolist()) for j, b in enumerate(y.tolist()) if near(a, b, t))
+    some = [neardup.Bands((0, 0), (0,)), neardup._block_bands(t, 100, 140), neardup._block_bands(t, 130_000, 130_000)]
+    for bands in [*some, *(neardup.Bands.of(t, m) for m in range(5, t + 2))]:
+        found = [(int(a), int(b)) for part in neardup.block_pairs(x, ids[:100], y, ids[100:], t, bands) for a, b in zip(part[0], part[1], strict=True)]
+        assert sorted(found) == want
+
+
+def test_a_dense_component_is_not_linked_by_rounds(spark, monkeypatch):
+    """A component of 219,000 edges, as 0.5 GB has, is walked through; all of its links are one group but for one pair."""
+    rounds, merged = [], neardup._merged if hasattr(neardup, "_merged") else None
+    monkeypatch.setattr(neardup, "_merged", lambda links: rounds.append(1) or merged(links), raising=False)
+    by_joins = getattr(neardup, "_link_by_rounds", None)
+    monkeypatch.setattr(neardup, "_link_by_rounds", lambda *a: rounds.append(1) or by_joins(*a), raising=False)
+    n = 663
+    edges = spark.range(n).alias("a").crossJoin(spark.range(n).alias("b")).where("a.id < b.id and not (a.id = 0 and b.id = 5)").selectExpr("a.id as a", "b.id as b", "1 as dist")
+    got = {r.id: r.group_id for r in neardup.complete_linkage(edges).collect()}
+    assert not rounds and got == {i: 0 for i in range(n) if i != 5}
+
+
+def test_ids_too_far_apart_for_ranks_of_one_number(spark):
+    close = [(i << 40, j << 40, (i * 7 + j) % 5) for i, j in itertools.combinations(range(-4, 14), 2) if (i + j) % 4]
+    near_by = [(a >> 40, b >> 40, d) for a, b, d in close]
+    link = lambda edges, m: sorted(tuple(r) for r in neardup.complete_linkage(spark.createDataFrame(edges, "a long, b long, dist int"), most_edges=m).collect())
+    assert link(close, 10**9) == link(close, 0) == [(i << 40, g << 40) for i, g in link(near_by, 0)]
+
+
 def test_rounds_link_as_the_walk_does(spark):
     hashes = some_hashes(160, 5)
     pairs = [(i, j, bin((a ^ b) & (1 << 64) - 1).count("1")) for (i, a), (j, b) in itertools.combinations(enumerate(hashes), 2) if near(a, b, 12)]
