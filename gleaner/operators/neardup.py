@@ -251,10 +251,44 @@ def _walk(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes, nodes[group]
 
 
+#: Nodes of which each can have a bit for every other: 32 MB.
+_DENSE = 16_384
+
+
+def _walk_dense(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_walk``, for up to ``_DENSE`` nodes with many links: a group has the
+    bits of its members and of the nodes that are near to all of them."""
+    nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
+    at, n, m = at.astype(np.int32), len(nodes), len(x)
+    order = np.argsort(at, kind="stable")
+    other, ends = np.concatenate((at[m:], at[:m]))[order], np.cumsum(np.bincount(at, minlength=n))
+    near = []
+    for first, last in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+        row = np.zeros(n, bool)
+        row[other[first:last]] = True
+        near.append(int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little"))
+    del order, other
+    group, members, held = list(range(n)), [[i] for i in range(n)], [1 << i for i in range(n)]
+    for lo in range(0, m, 100_000):
+        for i, j in zip(at[lo : min(lo + 100_000, m)].tolist(), at[m + lo : m + min(lo + 100_000, m)].tolist(), strict=True):
+            p, q = group[i], group[j]
+            if p != q and near[p] & held[q] == held[q]:
+                if len(members[p]) < len(members[q]):
+                    p, q = q, p
+                near[p] &= near[q]
+                held[p] |= held[q]
+                for k in members[q]:
+                    group[k] = p
+                members[p] += members[q]
+    return nodes, nodes[group]
+
+
 def _link(part: pa.Table) -> pa.Table:
-    column = lambda name: part.column(name).to_numpy()
-    order = np.lexsort((column("k2"), column("k1"), column("k0")))
-    nodes, group = _walk(column("x")[order], column("y")[order])
+    keys = [part.column(name).to_numpy() for name in sorted(part.column_names, reverse=True) if name.startswith("k")]
+    order = np.lexsort(keys)
+    x, y = (part.column(name).to_numpy()[order] for name in "xy")
+    dense = len(x) > 1_000 and len(np.union1d(x, y)) <= _DENSE
+    nodes, group = (_walk_dense if dense else _walk)(x, y)
     return pa.table({"old": nodes, "new": group}).filter(pa.array(nodes != group))
 
 
@@ -303,7 +337,9 @@ def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edge
     never open again; so after any merges the groups and their open links are a
     smaller case of the same.  Merges only follow links, so connected components
     are independent: those of up to ``most_edges`` links are walked through in
-    one task each.  More links than that are merged by rounds of joins
+    one task each, and so are those of up to four times as many between at most
+    16,384 groups, as large groups of near copies have, in which rounds merge
+    little.  More links than that are merged by rounds of joins
     (``_merged``) first, as long as each round takes a fifth of them; links of
     larger components are until half of them are gone, and then looked at again.
     Tables of each round are written to the shared folder.
@@ -312,7 +348,7 @@ def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edge
     low, high = edges.agg(F.min(F.least("a", "b")), F.max(F.greatest("a", "b"))).first()
     if low is not None and high - low < 1 << 28:  # a rank in one number is sorted much faster
         rank = F.shiftleft(F.col("dist").cast("long"), 56) + F.shiftleft(F.col("a") - F.lit(low), 28) + (F.col("b") - F.lit(low))
-        keys = [F.col("rank"), F.lit(0), F.lit(0)]
+        keys = [F.col("rank")]
     else:
         rank = F.struct("dist", "a", "b")
         keys = [F.col("rank.dist"), F.col("rank.a"), F.col("rank.b")]
@@ -337,7 +373,9 @@ def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edge
             continue
         placed = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
         work = links.join(placed.select(F.col("node").alias("x"), "component"), "x")
-        large = stored(work.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > most_edges).select("component"), "large_components")
+        over = work.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > most_edges)
+        over = over.join(placed.groupBy("component").agg(F.count("*").alias("_nodes")), "component")
+        large = stored(over.where((F.col("_n") > 4 * most_edges) | (F.col("_nodes") > _DENSE)).select("component"), "large_components")
         none = large.isEmpty()
         small = work if none else work.join(large, "component", "left_anti")
         walked = stored(small.select("component", "x", "y", *keys).groupBy("component").applyInArrow(_link, "old long, new long"), "walked")

@@ -145,6 +145,27 @@ def test_a_dense_component_is_not_linked_by_rounds(spark, monkeypatch):
     assert not rounds and got == {i: 0 for i in range(n) if i != 5}
 
 
+def test_walks_with_sets_and_with_bits_agree():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for share in (0.05, 0.6, 0.97):
+        x, y = np.nonzero(np.triu(rng.random((90, 90)) < share, 1))
+        order = rng.permutation(len(x))
+        x, y = x[order] * 5 - 7, y[order] * 5 - 7
+        groups = []
+        for walk in (neardup._walk, neardup._walk_dense):
+            nodes, group = walk(x, y)
+            groups.append(sorted(sorted(nodes[group == g].tolist()) for g in set(group.tolist())))
+        # By definition.
+        edges, own = set(zip(x.tolist(), y.tolist(), strict=True)), {int(k): [int(k)] for k in {*x.tolist(), *y.tolist()}}
+        for a, b in zip(x.tolist(), y.tolist(), strict=True):
+            p, q = own[a], own[b]
+            if p is not q and all((i, j) in edges or (j, i) in edges for i in p for j in q):
+                own.update(dict.fromkeys(p + q, p + q))
+        assert groups[0] == groups[1] == sorted({tuple(sorted(g)): sorted(g) for g in own.values()}.values())
+
+
 def test_ids_too_far_apart_for_ranks_of_one_number(spark):
     close = [(i << 40, j << 40, (i * 7 + j) % 5) for i, j in itertools.combinations(range(-4, 14), 2) if (i + j) % 4]
     near_by = [(a >> 40, b >> 40, d) for a, b, d in close]
