@@ -222,10 +222,11 @@ def near_pairs(hashes: DataFrame, threshold: int, confirm: bool = False) -> Data
     return pairs.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"), hamming(F.col("ha"), F.col("hb")).cast("int").alias("dist"))
 
 
-def _walk(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(node, group) of links x-y in the order of their ranks.  A link joins its
-    groups if they have an open link, and another group keeps one with both
-    together if it had one with each; so each link is dropped once."""
+def _walk(x: np.ndarray, y: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(node, group) of links x-y in the order of their ranks, of which the
+    first so many are followed, or all.  A link joins its groups if they have an
+    open link, and another group keeps one with both together if it had one with
+    each; so each link is dropped once."""
     nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
     same = list(range(len(nodes)))  # one object per node
     links = [(same[i], same[j]) for i, j in zip(at[: len(x)], at[len(x) :], strict=True)]
@@ -234,7 +235,7 @@ def _walk(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near[i].add(j)
         near[j].add(i)
     group, members = list(same), [[i] for i in same]
-    for i, j in links:
+    for i, j in links[:first]:
         p, q = group[i], group[j]
         if q in near[p]:
             if len(members[p]) < len(members[q]):
@@ -255,22 +256,24 @@ def _walk(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _DENSE = 16_384
 
 
-def _walk_dense(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _walk_dense(x: np.ndarray, y: np.ndarray, first: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """As ``_walk``, for up to ``_DENSE`` nodes with many links: a group has the
     bits of its members and of the nodes that are near to all of them."""
     nodes, at = np.unique(np.concatenate((x, y)), return_inverse=True)
     at, n, m = at.astype(np.int32), len(nodes), len(x)
+    first = m if first is None else first
     order = np.argsort(at, kind="stable")
     other, ends = np.concatenate((at[m:], at[:m]))[order], np.cumsum(np.bincount(at, minlength=n))
     near = []
-    for first, last in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
+    for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends, strict=True):
         row = np.zeros(n, bool)
-        row[other[first:last]] = True
+        row[other[lo:hi]] = True
         near.append(int.from_bytes(np.packbits(row, bitorder="little").tobytes(), "little"))
     del order, other
     group, members, held = list(range(n)), [[i] for i in range(n)], [1 << i for i in range(n)]
-    for lo in range(0, m, 100_000):
-        for i, j in zip(at[lo : min(lo + 100_000, m)].tolist(), at[m + lo : m + min(lo + 100_000, m)].tolist(), strict=True):
+    for lo in range(0, first, 100_000):
+        hi = min(lo + 100_000, first)
+        for i, j in zip(at[lo:hi].tolist(), at[m + lo : m + hi].tolist(), strict=True):
             p, q = group[i], group[j]
             if p != q and near[p] & held[q] == held[q]:
                 if len(members[p]) < len(members[q]):
@@ -284,14 +287,49 @@ def _walk_dense(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _link(part: pa.Table) -> pa.Table:
+    """(old, new) of some components, each walked through by itself if it has many links."""
+    component, followed = part.column("component").to_numpy(), part.column("followed").to_numpy()
     keys = [part.column(name).to_numpy() for name in sorted(part.column_names, reverse=True) if name.startswith("k")]
-    order = np.lexsort(keys)
-    x, y = (part.column(name).to_numpy()[order] for name in "xy")
-    dense = len(x) > 1_000 and len(np.union1d(x, y)) <= _DENSE
-    nodes, group = (_walk_dense if dense else _walk)(x, y)
+    order = np.lexsort([*keys, component])
+    x, y, followed, component = (c[order] for c in (part.column("x").to_numpy(), part.column("y").to_numpy(), followed, component))
+    starts = np.flatnonzero(np.concatenate(([True], component[1:] != component[:-1], [True])))
+    many = np.diff(starts) > 1_000
+    out = []
+    for lo, hi in zip(starts[:-1][many], starts[1:][many], strict=True):
+        dense = len(np.union1d(x[lo:hi], y[lo:hi])) <= _DENSE
+        out.append((_walk_dense if dense else _walk)(x[lo:hi], y[lo:hi], int(followed[lo:hi].sum())))
+    few = ~np.repeat(many, np.diff(starts))
+    if few.any():  # their order within each is all that counts
+        ahead = np.argsort(~followed[few], kind="stable")
+        out.append(_walk(x[few][ahead], y[few][ahead], int(followed[few].sum())))
+    nodes, group = (np.concatenate(c) for c in zip(*out, strict=True))
     return pa.table({"old": nodes, "new": group}).filter(pa.array(nodes != group))
 
 
+def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all links a-b of a task."""
+    held = list(batches)
+    if held:
+        a, b = (np.concatenate([part.column(c).to_numpy() for part in held]) for c in "ab")
+        nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+        i, j, least, old = at[: len(a)], at[len(a) :], np.arange(len(nodes)), None
+        while old is None or (least != old).any():
+            old = least
+            lower = np.minimum(least[i], least[j])
+            least = least.copy()
+            for end in (old[i], old[j], i, j):
+                np.minimum.at(least, end, lower)
+            while (least[least] != least).any():
+                least = least[least]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[least])], ["node", "component"])
+
+
+def _components(links: DataFrame, n: int, most: int) -> DataFrame:
+    """(node, component) of n links (x, y): in one task, if they are few."""
+    ends = links.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return stored(ends.repartition(1).mapInArrow(_labelled, "node long, component long"), "components") if n <= most else components(ends)
+
+
 def _merged(links: DataFrame) -> DataFrame:
     """(old, new) of all links that come before every other of both their groups.
 
@@ -302,11 +340,16 @@ def _merged(links: DataFrame) -> DataFrame:
     return best.groupBy("rank").agg(F.max("g").alias("old"), F.min("g").alias("new")).where("old <> new").select("old", "new")
 
 
-def _contracted(links: DataFrame, changed: DataFrame) -> DataFrame:
+def _contracted(links: DataFrame, changed: DataFrame, twos: bool) -> DataFrame:
     """Open links of the groups after ``changed`` (old, new): those of which
-    every part has a link with every part of the other."""
-    sizes = changed.groupBy("new").agg((F.count("*") + 1).alias("parts"))
-    parts = stored(changed.join(sizes, "new").select("old", "new", "parts").unionAll(sizes.select(F.col("new").alias("old"), "new", "parts")), "parts")
+    every part has a link with every part of the other.  twos: no group has
+    more than two parts."""
+    if twos:
+        own = changed.select(F.col("new").alias("old"), "new")
+        parts = changed.unionAll(own).withColumn("parts", F.lit(2).cast("long"))
+    else:
+        sizes = changed.groupBy("new").agg((F.count("*") + 1).alias("parts"))
+        parts = stored(changed.join(sizes, "new").select("old", "new", "parts").unionAll(sizes.select(F.col("new").alias("old"), "new", "parts")), "parts")
     parts = F.broadcast(parts) if parts.count() <= 500_000 else parts
     end = lambda e: parts.select(F.col("old").alias(e), F.col("new").alias(f"new_{e}"), F.col("parts").alias(f"parts_{e}"))
     moved = links.join(end("x"), "x", "left").join(end("y"), "y", "left")
@@ -316,13 +359,23 @@ def _contracted(links: DataFrame, changed: DataFrame) -> DataFrame:
     return stored(summed.where("n = wanted").select("x", "y", "rank"), "links")
 
 
-def _placed(member: DataFrame | None, changed: DataFrame) -> DataFrame:
-    """(id, g) of all ids that are in a group of two or more, after ``changed``."""
-    own = changed.select(F.col("old").alias("id")).unionAll(changed.select(F.col("new").alias("id"))).distinct()
-    own = own if member is None else own.join(member, "id", "left_anti")
+def _placed(member: DataFrame | None, changed: list[DataFrame]) -> DataFrame:
+    """(id, g) of all ids that are in a group of two or more, after each of ``changed`` in turn."""
+    ends = reduce(DataFrame.unionAll, (c.select(F.col(e).alias("id")) for c in changed for e in ("old", "new"))).distinct()
+    own = ends if member is None else ends.join(member, "id", "left_anti")
     rows = own.select("id", F.col("id").alias("g"))
     rows = rows if member is None else member.unionAll(rows)
-    return stored(rows.join(changed.withColumnRenamed("old", "g"), "g", "left").select("id", F.coalesce("new", "g").alias("g")), "members")
+    for one in changed:
+        rows = rows.join(one.withColumnRenamed("old", "g"), "g", "left").select("id", F.coalesce("new", "g").alias("g"))
+    return stored(rows, "members")
+
+
+def _early(links: DataFrame, dist: Column, nodes: int) -> list[int]:
+    """The distances of links, up to the largest that has not so many links that
+    these alone would tie most of the nodes together; the least in any case."""
+    found = sorted(tuple(r) for r in links.groupBy(dist.alias("dist")).agg(F.count("*")).collect())
+    last = max((d for d, n in found if 4 * n <= nodes), default=found[0][0])
+    return [d for d, _ in found if d <= last]
 
 
 def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edges: int = 1_000_000) -> DataFrame:
@@ -339,56 +392,90 @@ def complete_linkage(edges: DataFrame, exact: DataFrame | None = None, most_edge
     are independent: those of up to ``most_edges`` links are walked through in
     one task each, and so are those of up to four times as many between at most
     16,384 groups, as large groups of near copies have, in which rounds merge
-    little.  More links than that are merged by rounds of joins
-    (``_merged``) first, as long as each round takes a fifth of them; links of
-    larger components are until half of them are gone, and then looked at again.
+    little.
+
+    Where there are more links than that, those up to some distance (``_early``)
+    are followed first, in the components that these alone make, with all links
+    within each; a later link cannot change what an earlier one did.  Where such
+    a component is still too large, it is left for a smaller distance.  Then
+    links are merged by rounds of joins (``_merged``), as long as each round
+    takes a fifth of them, and looked at again; at last, links of components
+    that are too large are merged by rounds until half of them are gone.
     Tables of each round are written to the shared folder.
     """
     edges = edges.select("a", "b", "dist")
-    low, high = edges.agg(F.min(F.least("a", "b")), F.max(F.greatest("a", "b"))).first()
+    low, high, nodes = edges.agg(F.min(F.least("a", "b")), F.max(F.greatest("a", "b")), F.approx_count_distinct("a")).first()
     if low is not None and high - low < 1 << 28:  # a rank in one number is sorted much faster
         rank = F.shiftleft(F.col("dist").cast("long"), 56) + F.shiftleft(F.col("a") - F.lit(low), 28) + (F.col("b") - F.lit(low))
-        keys = [F.col("rank")]
+        keys, dist = [F.col("rank")], F.shiftright("rank", 56).cast("int")
     else:
         rank = F.struct("dist", "a", "b")
-        keys = [F.col("rank.dist"), F.col("rank.a"), F.col("rank.b")]
+        keys, dist = [F.col("rank.dist"), F.col("rank.a"), F.col("rank.b")], F.col("rank.dist")
     keys = [k.cast("long").alias(f"k{i}") for i, k in enumerate(keys)]
     links = edges.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), rank.alias("rank"))
-    member = None
+    member: DataFrame | None = None
+    past: list[DataFrame] = []  # merges that are not yet in member
 
-    def after(changed: DataFrame) -> None:
+    def after(changed: DataFrame, twos: bool = False, contract: bool = True) -> None:
         nonlocal links, member
-        changed = stored(changed, "merged")
-        if not changed.isEmpty():
-            links, member = _contracted(links, changed), _placed(member, changed)
-
-    if exact is not None and not exact.isEmpty():
-        after(components(exact).select(F.col("node").alias("old"), F.col("component").alias("new")).where("old <> new"))
-    n, before = links.count(), None
-    while n:
-        if n > most_edges and (before is None or 5 * n <= 4 * before):
-            before = n
-            after(_merged(links))
-            n = links.count()
-            continue
-        placed = components(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        work = links.join(placed.select(F.col("node").alias("x"), "component"), "x")
+        if changed.isEmpty():
+            return
+        past.append(changed)
+        if len(past) == 8:
+            member = _placed(member, past)
+            past.clear()
+        if contract:
+            links = _contracted(links, changed, twos)
+
+    def walk(last: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Merges by links up to a distance, or by all, in the components they make; components too large for that; all links within one."""
+        followed = F.lit(True) if last is None else dist <= last
+        first = links.where(followed)
+        placed = _components(first, first.count(), most_edges)
+        ends = F.broadcast(placed) if last is not None and placed.count() <= 500_000 else placed
+        work = links.join(ends.select(F.col("node").alias("x"), "component"), "x")
+        if last is not None:
+            work = work.join(ends.select(F.col("node").alias("y"), F.col("component").alias("_other")), "y").where("component = _other")
+            work = stored(work.select("component", "x", "y", "rank"), "within")
         over = work.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > most_edges)
         over = over.join(placed.groupBy("component").agg(F.count("*").alias("_nodes")), "component")
         large = stored(over.where((F.col("_n") > 4 * most_edges) | (F.col("_nodes") > _DENSE)).select("component"), "large_components")
-        none = large.isEmpty()
-        small = work if none else work.join(large, "component", "left_anti")
-        walked = stored(small.select("component", "x", "y", *keys).groupBy("component").applyInArrow(_link, "old long, new long"), "walked")
-        if not walked.isEmpty():
-            member = _placed(member, walked)
-        if none:
+        small = work if large.isEmpty() else work.join(large, "component", "left_anti")
+        task = F.pmod(F.xxhash64("component"), F.lit(max(48, n // 50_000)))
+        merges = small.select(task.alias("task"), "component", "x", "y", followed.alias("followed"), *keys).groupBy("task").applyInArrow(_link, "old long, new long")
+        return stored(merges, "walked"), large, work
+
+    if exact is not None and not exact.isEmpty():
+        after(stored(components(exact).select(F.col("node").alias("old"), F.col("component").alias("new")).where("old <> new"), "merged"))
+    n, before, done = links.count(), None, None
+    while n:
+        if n > most_edges:
+            if done is not None and (before is None or 5 * n <= 4 * before):
+                before = n
+                after(stored(_merged(links), "merged"), twos=True)
+                n = links.count()
+                continue
+            ways = _early(links, dist, nodes)
+            if done is None or ways[-1] > done:
+                done, large = ways[-1], None
+                while ways and (large is None or not large.isEmpty()):
+                    walked, large, _ = walk(ways[-1])
+                    after(walked)
+                    ways = ways[: len(ways) // 2]
+                n, before = links.count(), None
+                continue
+        walked, large, work = walk(None)
+        after(walked, contract=False)
+        if large.isEmpty():
             break
         links = stored(work.join(large, "component").select("x", "y", "rank"), "large_links")
         n = most = links.count()
         while 2 * n > most:
-            after(_merged(links))
+            after(stored(_merged(links), "merged"), twos=True)
             n = links.count()
         before = None
+    if past:
+        member = _placed(member, past)
     if member is None:
         return edges.sparkSession.createDataFrame([], "id long, group_id long")
     names = member.groupBy("g").agg(F.min("id").alias("group_id"))

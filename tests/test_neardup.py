@@ -187,6 +187,34 @@ def test_rounds_link_as_the_walk_does(spark):
     assert one == many
 
 
+def test_large_groups_in_one_web_are_walked_and_not_merged_by_rounds(spark, monkeypatch):
+    """Three dense groups in one component of too many links: rounds would add one member at a time."""
+    rounds, merged = [], neardup._merged
+    monkeypatch.setattr(neardup, "_merged", lambda links: rounds.append(1) or merged(links))
+    rng = random.Random(8)
+    dense = [(40 * g + i, 40 * g + j, 1 + (i > 20)) for g in range(3) for i, j in itertools.combinations(range(40), 2) if (i, j) != (2, 7)]
+    web = sorted({(a, b, 5) for a in range(80) for b in rng.sample(range(40 * (a // 40 + 1), 200), 6)})
+    edges = spark.createDataFrame(dense + web, "a long, b long, dist int")
+    got = sorted(tuple(r) for r in neardup.complete_linkage(edges, most_edges=400).collect())
+    assert len(rounds) <= 8
+    assert got == sorted(tuple(r) for r in neardup.complete_linkage(edges, most_edges=10**9).collect()) and len(got) > 120
+
+
+def test_links_up_to_a_distance_first_give_what_one_walk_gives(spark):
+    rng = random.Random(3)
+    pairs = [(i * 3, j * 3, rng.choice([1, 2, 3, 3, 4, 4, 4])) for i, j in itertools.combinations(range(60), 2) if i // 6 == j // 6 or rng.random() < 0.2]
+    order = sorted((d, a, b) for a, b, d in pairs)
+    near_by, own = {(a, b) for a, b, _ in pairs}, {i * 3: [i * 3] for i in range(60)}
+    for _, a, b in order:  # by definition
+        p, q = own[a], own[b]
+        if p is not q and all((min(i, j), max(i, j)) in near_by for i in p for j in q):
+            own.update(dict.fromkeys(p + q, p + q))
+    want = sorted((i, min(g)) for i, g in own.items() if len(g) > 1)
+    edges = spark.createDataFrame(pairs, "a long, b long, dist int")
+    for most in (0, 20, 60, 10**9):
+        assert sorted(tuple(r) for r in neardup.complete_linkage(edges, most_edges=most).collect()) == want
+
+
 def test_cluster_of_records(spark):
     rows = [(0, "x", 5, 0), (1, "y", 5, 0), (2, "y", None, None), (3, "z", 4, 0), (4, None, None, None), (5, "z", 4, 0), (6, "w", -1, 0), (7, "w", -1, 0), (8, "v", None, None), (9, "v", None, None), (None, "x", 5, 0)]
     table = spark.createDataFrame(rows, "id long, content_hash string, h1 long, h2 long")
